@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op4_ppm_score": "ppm",
     "op3_decontamination": "decontam",
     "op2_source_mixing": "mixing",
     "op8_minhash_dedup": "minhash",
