@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op6_embedding_dedup": "rpforest",
+    "op10_html_extraction": "styletree",
     "op7_language_id": "langid",
     "op9_quality": "puquality",
     "op4_ppm_score": "ppm",
