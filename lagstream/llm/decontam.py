@@ -15,12 +15,13 @@ taken in blocks of items, each a pass over the texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagstream.llm import bytetext as bt
 from lagstream.llm.common import read_table
@@ -252,19 +253,19 @@ def blocks(benchmark: DataFrame, k: int, id_col: str, text_col: str, most: int =
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", clean: bool = False) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", clean: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Benchmark passages in documents: a row (id, n_words, n_hit, items, spans) for each document.
 
     Words are runs of ASCII letters, digits and all beyond ASCII after A-Z are lower-cased. A window is k
     consecutive words of an item, of a shorter one all its words; items without words or id have none. A
     word inside any occurrence of a window is hit. items are the ids with occurring windows, sorted as
     strings; spans the merged byte ranges [start, end) of hit words. clean adds clean_text, without
-    those spans, cut again until no window remains; null texts stay null. Null and empty texts have no
+    those spans, cut again until no window remains; null texts stay null. carry names further columns to keep. Null and empty texts have no
     words. Repeated rows each return; empty tables give no rows or no hits; other columns are ignored.
     """
     names = ["id", "n_words", "n_hit", "items", "spans"] + ["clean_text"] * clean
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span, pa.string()])))
+    names += [f"c_{c}" for c in carry]
     all_blocks = list(blocks(benchmark, k, item_col, item_text))  # of bounded size each; more than one only beyond BLOCK words
     handles = [docs.sparkSession.sparkContext.broadcast(b) for b in all_blocks]
 
@@ -301,10 +302,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: st
                         cleaned.append(None if value is None else value.decode())
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
             if n_words:
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(cleaned, pa.string())] * clean, schema=schema)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(cleaned, pa.string())] * clean + batch.columns[2:], names=names)
 
-    kind = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" + ", clean_text string" * clean
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, kind)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    kind = T.StructType.fromDDL("id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" + ", clean_text string" * clean)
+    found = rows.mapInArrow(scan, T.StructType(kind.fields + rows.schema.fields[2:]))
+    return found.select(*(x.name for x in kind), *(F.col(f"c_{c}").alias(c) for c in carry))
 
 
 def items_digest(items: list[str]) -> str:

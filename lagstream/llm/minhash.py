@@ -157,18 +157,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     Words are runs of non-space after A-Z are lower-cased; a text's set holds its distinct runs of k words,
     of fewer words all as one; empty and null texts have none and are linked with nothing. Texts with
     100 |A and B| >= percent |A or B| are linked, confirmed on full sets; component_id is the smallest id
-    reachable, kept marks the row that has it. Rows of one id count as one node (each row returns). An
-    empty table gives no rows; other columns are ignored.
+    reachable, kept marks the row that has it. Rows of one id count as one node (each row returns); a row of null id is
+    linked with nothing and kept. An empty table gives no rows; other columns are ignored.
 
     The chance that a pair at the threshold shares no bucket is below 1e-8.
     """
     stages = Stages(docs.sparkSession, "minhash")
     sig = stages.put(signatures(docs, k, percent, id_col, text_col), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"))
+    classes = sig.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"))
     # digests are hashed anew for the join, so that a class of most rows can be split
     c = classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n_shingles").alias("en"), "rep")
     members = stages.put(
-        sig.join(c, (_rehash(sig["d1"]) == _rehash(c["e1"])) & (sig["d1"] == c["e1"]) & (sig["d2"] == c["e2"]) & (sig["n_shingles"] == c["en"]), "left")
+        sig.join(c, sig["id"].isNotNull() & (_rehash(sig["d1"]) == _rehash(c["e1"])) & (sig["d1"] == c["e1"]) & (sig["d2"] == c["e2"]) & (sig["n_shingles"] == c["en"]), "left")
         .select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("keys")).alias("keys")), "members")
     stages.drop(sig)
     keyed = members.where("keys is not null").select(F.col("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         links = links.unionByName(found)
         parts = stages.put(components(links, stages), "components")
     final = relabel(members.select("id", "n_shingles", "rep"), "rep", parts, "component_id")
-    return final.select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return final.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

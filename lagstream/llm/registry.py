@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_pii_surrogates": "pii",
+    "op5_tool_calls": "toolcalls",
     "op6_embedding_dedup": "rpforest",
     "op10_html_extraction": "styletree",
     "op7_language_id": "langid",
