@@ -5,11 +5,12 @@ Flow, with what is bounded at each step:
 
 1. One scan gives each text its shingle count, a 128-bit digest of its shingle set and its band keys.
    Texts of one digest form a class (exact copies of any number collapse by a partial aggregate).
-2. Only class representatives are bucketed. A bucket's hub is its smallest id; the representative is first
-   compared with one hub only, so candidates are linear in the rows whatever the bucket sizes.
+2. Only class representatives are bucketed. A bucket's hub is the member whose buckets are the largest; a
+   representative is first compared with one hub only, so candidates are linear in the rows whatever the buckets.
 3. Links are confirmed on full shingle sets and joined to components. Buckets whose members are by then in
-   one component are done. The rest get edges to their hub, then, as the exact way for what stars leave
-   open, the pairs of members in different components; nothing is capped.
+   one component are done. Small open buckets give the pairs of members in different components. In large ones
+   members are compared with one reference, and only texts whose differences from it meet are paired
+   (far_pairs), which leaves out no link; nothing is capped.
 
 Components are computed by joins on staged tables; no links or ids come to the driver.
 """
@@ -27,6 +28,10 @@ from lagstream.llm import bytetext as bt
 from lagstream.llm.common import Stages, components, read_table
 
 
+#: Buckets of so many members at most are paired directly.
+SMALL = 16
+
+
 class Sketch:
     """One-permutation MinHash of bands x rows bins, densified by probing (Shrivastava 2017).
 
@@ -103,8 +108,9 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         scan, "id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach percent: 100 |A and B| >= percent |A or B|.
+def compared(pairs: DataFrame, texts: DataFrame, k: int, residual: bool = False) -> DataFrame:
+    """Pairs (a, b) with the sizes na, nb of their full shingle sets, both of their intersection and, with residual,
+    the shingles rest of a that b lacks.
 
     The texts of both ends come by joins (a hub's join is split by adaptive execution); the last few sets
     are kept by id, since a hub's rows come one after another.
@@ -112,10 +118,12 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
-            keep = []
+            if not batch.num_rows:
+                continue
+            sizes, rests = [], []
             ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
             for i in range(batch.num_rows):
                 sets = []
@@ -128,16 +136,49 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                         (words,) = bt.texts_words(batch.column(2 + c).slice(i, 1), bt.NOT_SPACE)
                         found = kept[key] = bt.shingle_hashes(words, k)
                     sets.append(found)
-                small, large = sorted(sets, key=len)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum()) if len(large) else 0
-                keep.append(100 * both >= percent * (len(small) + len(large) - both) and both > 0)
-            chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            if chosen.num_rows:
-                yield chosen
+                one, two = sets
+                at = np.searchsorted(two, one)
+                at[at == len(two)] = 0
+                shared = two[at] == one if len(two) else np.zeros(len(one), bool)
+                sizes.append((len(one), len(two), int(shared.sum())))
+                if residual:
+                    rests.append(one[~shared].view(np.int64))
+            columns = [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in zip(*sizes))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(rests, pa.list_(pa.int64()))] * residual, names=["a", "b", "na", "nb", "both"] + ["rest"] * residual)
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(count, "a long, b long, na long, nb long, both long" + ", rest array<long>" * residual)
+
+
+def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that reach percent: 100 |A and B| >= percent |A or B|."""
+    return compared(pairs, texts, k).where(reaches("both", percent)).select("a", "b")
+
+
+def reaches(both: str | Column, percent: int, na: str = "na", nb: str = "nb") -> Column:
+    both = F.col(both) if isinstance(both, str) else both
+    return (both > 0) & (both * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
+
+
+def far_pairs(about: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """Pairs (a, b) that may be linked among texts compared with one reference each: about has ref, a, na, nh (the
+    reference's size), both (with the reference), rest and part (the component so far).
+
+    Exact: of a pair not joined yet, one text x is not linked to the reference h. The pair shares at most
+    min(|x and h|, |y and h|) shingles inside h, and outside h those that both residuals hold. So either the
+    residuals meet, found by a join on residual shingles (few texts share one that h lacks), or the bound inside h
+    alone must do, which needs |y| < |h|.
+    """
+    about = stages.put(about, "about")
+    side = lambda df, s: df.select(*(F.col(c).alias(c + s) for c in ("ref", "a", "na", "both", "part")))
+    loose = about.where(~reaches("both", percent, "na", "nh"))
+    bound = lambda extra: reaches(F.least("both1", "both2") + extra, percent, "na1", "na2")
+    apart = (F.col("part1") != F.col("part2")) & (F.col("a1") != F.col("a2"))
+    spread = lambda df, s: df.select(F.col("ref").alias("ref" + s), F.col("a").alias("a" + s), F.col("na").alias("na" + s), F.col("both").alias("both" + s), F.col("part").alias("part" + s), F.explode("rest").alias("e" + s))
+    met = spread(loose, "1").join(spread(about, "2"), (F.col("e1") == F.col("e2")) & (F.col("ref1") == F.col("ref2")) & apart)
+    met = met.groupBy("a1", "a2", "na1", "na2", "both1", "both2", "ref1").agg(F.count("*").alias("c")).where(bound(F.col("c")))
+    small = side(about.where("na < nh"), "2")
+    inside = side(loose, "1").join(small, (_rehash(F.col("ref1")) == _rehash(F.col("ref2"))) & (F.col("ref1") == F.col("ref2")) & apart & bound(F.lit(0)))
+    return met.select("a1", "a2").unionByName(inside.select("a1", "a2")).select(F.greatest("a1", "a2").alias("a"), F.least("a1", "a2").alias("b"))
 
 
 def _rehash(x: Column) -> Column:
@@ -172,38 +213,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         .select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("keys")).alias("keys")), "members")
     stages.drop(sig)
     keyed = members.where("keys is not null").select(F.col("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select(F.col("key").alias("hkey"), "hub")
-    # a member and its bucket's hub, for buckets of more than one text
-    buckets = stages.put(keyed.join(hubs, _rehash(keyed["key"]) == _rehash(F.col("hkey"))).where("key = hkey").select("key", "hub", "rep", "n"), "buckets")
-    nodes = buckets.groupBy("rep").agg(F.min("hub").alias("hub"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("skey"), "c")
+    # members of buckets of more than one text, and the bucket's size
+    buckets = stages.put(keyed.join(shared, _rehash(keyed["key"]) == _rehash(F.col("skey"))).where("key = skey").select("key", "c", "rep", "n"), "buckets")
+    # a text in large buckets is central to its group; a bucket's hub is its most central member
+    central = buckets.groupBy("rep").agg(F.sum("c").alias("score")).select(F.col("rep").alias("srep"), "score")
+    scored = stages.put(buckets.join(central, F.col("rep") == F.col("srep")).select("key", "c", "rep", "n", F.struct("score", (-F.col("rep")).alias("low")).alias("rank")), "scored")
+    stages.drop(buckets)
+    hubs = scored.groupBy("key").agg(F.max("rank").alias("top"))
+    hubs = stages.put(hubs.select(F.col("key").alias("hkey"), "top"), "hubs")
+    membership = scored.join(hubs, _rehash(scored["key"]) == _rehash(F.col("hkey"))).where("key = hkey")
+    own = membership.groupBy("rep").agg(F.max("top").alias("top")).select("rep", (-F.col("top.low")).alias("hub"))
+    own = stages.put(own, "own")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = stages.put(text.join(nodes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stages.put(text.join(own.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    tried = nodes.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    links = stages.put(linked(tried, texts, k, percent), "links")
+    links = stages.put(linked(own.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), texts, k, percent), "links")
     parts = stages.put(components(links, stages), "components")
-    for turn in ("stars", "rest"):
-        # buckets whose members are not in one component yet
-        labelled = stages.put(relabel(buckets, "rep", parts, "part"), "labelled")
-        open_keys = (labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-                     .select(F.col("key").alias("okey")))
-        left = labelled.join(open_keys, _rehash(labelled["key"]) == _rehash(F.col("okey"))).where("key = okey").drop("okey")
-        if turn == "stars":
-            pairs = relabel(left, "hub", parts, "hub_part").where("part <> hub_part").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        else:
-            left = stages.put(left, "left")
-            other = left.select(F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-            pairs = (left.join(other, _rehash(left["key"]) == _rehash(other["key2"]))
-                     .where((F.col("key") == F.col("key2")) & (F.col("part") != F.col("part2")) & (F.col("rep") > F.col("rep2"))
-                            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-                     .select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
-        pairs = stages.put(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        if pairs.isEmpty():
-            continue
-        found = stages.put(linked(pairs, texts, k, percent), "links")
-        links = links.unionByName(found)
-        parts = stages.put(components(links, stages), "components")
+    # buckets whose members are not in one component yet
+    labelled = stages.put(relabel(scored.select("key", "c", "rep", "n"), "rep", parts, "part"), "labelled")
+    open_keys = (labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+                 .select(F.col("key").alias("okey")))
+    left = stages.put(labelled.join(open_keys, _rehash(labelled["key"]) == _rehash(F.col("okey"))).where("key = okey").drop("okey"), "left")
+    few = left.where(F.col("c") <= SMALL)
+    other = few.select(F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    near = few.join(other, (F.col("key") == F.col("key2")) & (F.col("part") != F.col("part2")) & (F.col("rep") > F.col("rep2"))
+                    & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    # large ones by a reference: the hub of the bucket's hub, so that the buckets of a group have one in common
+    many = left.where(F.col("c") > SMALL)
+    refs = hubs.select("hkey", (-F.col("top.low")).alias("h")).join(own.select(F.col("rep").alias("h2"), F.col("hub").alias("ref")), F.col("h") == F.col("h2")).select("hkey", "ref")
+    many = many.join(refs, _rehash(many["key"]) == _rehash(F.col("hkey"))).where("key = hkey").select("rep", "ref", "part").distinct()
+    many = stages.put(many, "many")
+    against = stages.put(compared(many.select(F.col("rep").alias("a"), F.col("ref").alias("b")), texts, k, residual=True), "against")
+    to_ref = against.where(reaches("both", percent) & (F.col("a") != F.col("b"))).select("a", "b")
+    about = against.select("a", F.col("b").alias("ref"), "na", F.col("nb").alias("nh"), "both", "rest").join(many.select(F.col("rep").alias("a"), "ref", "part"), ["a", "ref"])
+    pairs = stages.put(near.unionByName(far_pairs(about, percent, stages)).distinct(), "pairs")
+    found = stages.put(linked(pairs, texts, k, percent).unionByName(to_ref), "links")
+    if not found.isEmpty():
+        parts = stages.put(components(links.unionByName(found), stages), "components")
     final = relabel(members.select("id", "n_shingles", "rep"), "rep", parts, "component_id")
     return final.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
