@@ -26,10 +26,10 @@ from lagstream.llm.common import Stages, read_table
 
 ORDER = 5
 #: Nodes a context order; 12 bytes each in a worker.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
 #: Words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 200_000
-PIECE = 1 << 22
+PIECE = 1 << 21
 #: Bytes that UTF-8 never has: before a text, and its end.
 PAD, END = 0xFE, 0xFF
 END_WORD = np.uint64(0x5DEECE66D1234567)
