@@ -1 +1 @@
-"""See the package README."""
+"""Algebra on small matrices, scalar functions of features, simulators."""

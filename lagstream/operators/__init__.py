@@ -1 +1 @@
-"""See the package README."""
+"""Distributed operators on trajectory tables, and the models they fit."""

@@ -1 +1 @@
-"""See the package README."""
+"""Trajectory tables: schema, adapters, and the readers of the driver's tables."""

@@ -1 +1 @@
-"""See the package README."""
+"""Incremental fitting of streams."""
