@@ -391,11 +391,9 @@ def oom_components(ct, c2t, chosen=None, tol_one: float = 0.01):
     values, vectors = values[good].real, vectors[:, good].real
     order = np.argsort(-values)
     values = values[order]
-    right = np.linalg.lstsq(xi.sum(1).T - np.eye(len(s)), np.zeros(len(s)), rcond=None)[0]
     w, left = np.linalg.eig(xi.sum(1).T)
     omega = left[:, np.argmin(np.abs(w - 1))].real
     sigma = f1.T @ ct.sum(1)
-    del right
     return xi, omega / (omega @ sigma), sigma, values
 
 
