@@ -173,9 +173,13 @@ def far_pairs(about: DataFrame, percent: int, stages: Stages) -> DataFrame:
     loose = about.where(~reaches("both", percent, "na", "nh"))
     bound = lambda extra: reaches(F.least("both1", "both2") + extra, percent, "na1", "na2")
     apart = (F.col("part1") != F.col("part2")) & (F.col("a1") != F.col("a2"))
-    spread = lambda df, s: df.select(F.col("ref").alias("ref" + s), F.col("a").alias("a" + s), F.col("na").alias("na" + s), F.col("both").alias("both" + s), F.col("part").alias("part" + s), F.explode("rest").alias("e" + s))
-    met = spread(loose, "1").join(spread(about, "2"), (F.col("e1") == F.col("e2")) & (F.col("ref1") == F.col("ref2")) & apart)
-    met = met.groupBy("a1", "a2", "na1", "na2", "both1", "both2", "ref1").agg(F.count("*").alias("c")).where(bound(F.col("c")))
+    # of a pair that can be linked, each residual of x holds percent |x| - |x and h| shingles of the other at least, so
+    # in any one order of all shingles the residuals meet before the last so many less one
+    least = F.greatest(F.lit(1), F.ceil(F.col("na") * percent / 100 - F.col("both")).cast("int"))
+    spread = lambda df, s: (df.where(F.size("rest") >= least).select(*(F.col(c).alias(c + s) for c in ("ref", "a", "na", "both", "part")), F.size("rest").alias("size" + s), (least - 1).alias("off" + s),
+                                                                    F.explode(F.slice(F.array_sort("rest"), F.lit(1), F.size("rest") - least + 1)).alias("e" + s)))
+    met = spread(loose, "1").join(spread(about, "2"), (F.col("e1") == F.col("e2")) & (F.col("ref1") == F.col("ref2")) & apart & bound(F.least("size1", "size2")))
+    met = met.groupBy("a1", "a2", "na1", "na2", "both1", "both2", "ref1", "off1", "off2").agg(F.count("*").alias("c")).where(bound(F.col("c") + F.col("off1") + F.col("off2")))
     small = side(about.where("na < nh"), "2")
     inside = side(loose, "1").join(small, (_rehash(F.col("ref1")) == _rehash(F.col("ref2"))) & (F.col("ref1") == F.col("ref2")) & apart & bound(F.lit(0)))
     return met.select("a1", "a2").unionByName(inside.select("a1", "a2")).select(F.greatest("a1", "a2").alias("a"), F.least("a1", "a2").alias("b"))
