@@ -52,9 +52,9 @@ def _trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(x) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = (x[:-2] << np.uint64(16)) | (x[1:-1] << np.uint64(8)) | x[2:]
-    real = (x[1:-1] != 0x20) | ((x[:-2] != 0x20) & (x[2:] != 0x20))
-    rows = np.clip(np.searchsorted(at, place[1:-1], side="right") - 1, 0, len(offsets) - 2)
-    return rows[real], (bt.mix(code[real]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    own = np.clip(np.searchsorted(at, place, side="right") - 1, 0, len(offsets) - 2)
+    real = (x[1:-1] != 0x20) | ((x[:-2] != 0x20) & (x[2:] != 0x20) & (own[:-2] == own[2:]))
+    return own[1:-1][real], (bt.mix(code[real]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 class Profiles:

@@ -2,7 +2,7 @@
 
 Trees split recursively at the median of a random direction, fitted on a bounded sample; every vector is routed
 down every tree, into both children where it lies near a split. Vectors are compared within leaves, blockwise,
-in double precision. A pair that several trees bring together is counted in the first of them only, so links
+in double precision. A pair that several leaves bring together is counted in the first of them only, so links
 are counted in place and never listed; what leaves a leaf is a count for each vector and a spanning forest of
 its links. Leaves of more than BLOCK vectors are compared as pairs of blocks, by as many tasks.
 
@@ -113,15 +113,22 @@ def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any((1, 2))
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: float) -> tuple[dict[int, int], set[tuple[int, int]]]:
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least leaf that rows of two leaf tables share."""
+    shared = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
+    return np.where(shared, a, np.iinfo(np.int64).max).min(1)
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: float, leaf: int | None = None) -> tuple[dict[int, int], set[tuple[int, int]]]:
     """Links within left, or between left and right: each vector's multiplicity-weighted count, and spanning edges.
 
-    Rows have id, mult, x (float vectors) and earlier (leaf ids by earlier tree, flattened)."""
+    Rows have id, mult, x (float vectors) and leaves (leaf ids by tree up to this one, flattened). A pair counts here
+    if it shares no leaf of an earlier tree and this leaf is the first it shares in this one (leaf None: always)."""
 
     def arrays(part: pd.DataFrame):
         x = np.array(part["x"].tolist(), np.float64)
         x /= np.sqrt((x * x).sum(1))[:, None]
-        early = np.array(part["earlier"].tolist(), np.int64).reshape(len(part), tree, SPILL) if tree else None
+        early = None if leaf is None else np.array(part["leaves"].tolist(), np.int64).reshape(len(part), tree + 1, SPILL)
         return part["id"].to_numpy(), part["mult"].to_numpy(), x, early
 
     ids, mult, x, early = arrays(left)
@@ -143,11 +150,12 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: fl
             hit &= np.arange(lo, min(n, lo + 256))[:, None] < np.arange(n)[None, :]
         i, j = np.nonzero(hit)
         i += lo
-        if tree and len(i):
+        if leaf is not None and len(i):
             fresh = np.ones(len(i), bool)
-            for t in range(tree):
-                for a in range(0, len(i), 1 << 16):
-                    s = slice(a, a + (1 << 16))
+            for a in range(0, len(i), 1 << 16):
+                s = slice(a, a + (1 << 16))
+                fresh[s] = _first_shared(early[i[s], tree], early2[j[s], tree]) == leaf
+                for t in range(tree):
                     fresh[s] &= ~_together(early[i[s], t], early2[j[s], t])
             i, j = i[fresh], j[fresh]
         np.add.at(count, i, mult2[j])
@@ -192,7 +200,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth, margin))
     width = points.shape[1]
 
-    schema = pa.schema([("label", pa.string()), ("tree", pa.int32()), ("leaf", pa.int64()), ("id", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(pa.float64())), ("earlier", pa.list_(pa.int64()))])
+    schema = pa.schema([("label", pa.string()), ("tree", pa.int32()), ("leaf", pa.int64()), ("id", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int64()))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,13 +212,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
                 found = [forest.value.leaves(x, t) for t in range(trees)]
                 for t in range(trees):
                     row, at = np.nonzero((found[t] >= 0) & good[:, None])
-                    early = np.concatenate(found[:t], 1)[row] if t else np.zeros((len(row), 0), np.int64)
+                    early = np.concatenate(found[:t + 1], 1)[row]
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([
                         part.column("label").take(take), pa.array(np.full(len(row), t, np.int32)), pa.array(found[t][row, at]), part.column("id").take(take), part.column("mult").take(take),
-                        part.column("x").take(take), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * t * SPILL), pa.array(early.ravel()))], schema=schema)
+                        part.column("x").take(take), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (t + 1) * SPILL), pa.array(early.ravel()))], schema=schema)
 
-    routed = reps.select("label", "id", "mult", "x").mapInArrow(route, "label string, tree int, leaf long, id long, mult long, x array<double>, earlier array<long>")
+    routed = reps.select("label", "id", "mult", "x").mapInArrow(route, "label string, tree int, leaf long, id long, mult long, x array<double>, leaves array<long>")
     routed = stages.put(routed, "routed")
     # a leaf's blocks, by its size; block pairs of large leaves go to tasks of their own
     sizes = routed.groupBy("label", "tree", "leaf").count().where("count > 1").select(
@@ -223,10 +231,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
     def leaf(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[1])
         if key[3] == key[4]:
-            count, edges = compare(part, None, tree, least)
+            count, edges = compare(part, None, tree, least, int(key[2]))
         else:
             one, two = part[part["own"] == key[3]], part[part["own"] == key[4]]
-            count, edges = compare(one, two, tree, least) if len(one) and len(two) else ({}, set())
+            count, edges = compare(one, two, tree, least, int(key[2])) if len(one) and len(two) else ({}, set())
         rows = [(i, -1, c) for i, c in count.items()] + [(a, b, 0) for a, b in edges]
         return pd.DataFrame(rows, columns=["a", "b", "n"]).astype("int64")
 
