@@ -375,3 +375,27 @@ class PositionBasedFluids:
 
     def run(self, n: int, drift: float = 0.0) -> np.ndarray:
         return np.stack([self.step(drift).copy() for _ in range(n)])
+
+
+class DoubleWellDiscrete:
+    """A chain over 100 bins of a double well, generated from its energies, with three coarse state definitions."""
+
+    def __init__(self, n: int = 100, barrier: float = 3.0):
+        x = np.linspace(-1.5, 1.5, n)
+        self.transition_matrix = tmatrix_metropolis1d(barrier * (x**2 - 1) ** 2)
+        self.n = n
+
+    @property
+    def analytic_msm(self):
+        from lagstream.operators.msm import MarkovStateModel
+
+        return MarkovStateModel(self.transition_matrix)
+
+    def simulate(self, n_steps: int, start: int | None = None, seed: int = 0) -> np.ndarray:
+        return self.analytic_msm.simulate(n_steps, start, seed=seed)
+
+    def coarse(self, dtraj: np.ndarray, kind: str) -> np.ndarray:
+        """n2good: split at the barrier; n2bad: off it; n6good: six bins, finer near the barrier."""
+        n = self.n
+        edges = {"n2good": [n // 2], "n2bad": [2 * n // 5], "n6good": [2 * n // 5, 9 * n // 20, n // 2, 11 * n // 20, 3 * n // 5]}[kind]
+        return np.searchsorted(edges, dtraj, side="right")
