@@ -97,12 +97,14 @@ def mix(docs: DataFrame, curriculum: Sequence[Knots] = CURRICULUM, share: float
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col(source_col).cast("string")
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = stages.put(docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"c_{c}") for c in carry),
-                                   size.alias("size"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), digest.alias("digest")), "sized")
-    ranges = max(1, int(sized.count() ** 0.5))
-    sized = sized.withColumn("range", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long"))
-    sums = sized.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
-    sums = stages.put(sums, "ranges")
+    sized = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"c_{c}") for c in carry),
+                        size.alias("size"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), digest.alias("digest"))
+    # kept columns may be whole texts, which are not worth a copy: sizes are counted again where they are placed
+    narrow = stages.put(sized.select("id", "size", "skey", "digest"), "sized")
+    ranges = max(1, int(narrow.count() ** 0.5))
+    at_range = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long")
+    sums = stages.put(narrow.groupBy("skey", at_range.alias("range")).agg(F.sum("size").alias("range_size")), "ranges")
+    sized = (sized if carry else narrow).withColumn("range", at_range)
     by_source = sums.groupBy("skey").agg(F.sum("range_size").alias("source_size")).withColumn("source", F.when(F.col("skey") != "n", F.expr("substring(skey, 2)")))
     earlier = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (sums.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
