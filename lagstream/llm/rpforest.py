@@ -184,7 +184,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
     """
     spark = vectors.sparkSession
     stages = Stages(spark, "rpforest")
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(x_col).cast("array<double>").alias("x"))
+    single = vectors.schema[x_col].dataType.simpleString() == "array<float>"  # kept as they are; compared in double all the same
+    number, arrow = ("float", pa.float32()) if single else ("double", pa.float64())
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(x_col).cast(f"array<{number}>").alias("x"))
     # equal vectors of a label by their bytes; a class may have most rows, so its smallest id comes by a partial aggregate
     keyed = source.withColumn("key", F.xxhash64("label", "x")).withColumn("key2", F.hash("x", "label"))
     keyed = stages.put(keyed.select("id", "label", "key", "key2", F.col("label").isNotNull().alias("some")), "keys")
@@ -200,49 +202,54 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth, margin))
     width = points.shape[1]
 
-    schema = pa.schema([("label", pa.string()), ("tree", pa.int32()), ("leaf", pa.int64()), ("id", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int64()))])
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                x, good = _unit(part.column("x"))
-                if x.shape[1] != width or not width:
-                    continue
-                found = [forest.value.leaves(x, t) for t in range(trees)]
-                for t in range(trees):
-                    row, at = np.nonzero((found[t] >= 0) & good[:, None])
-                    early = np.concatenate(found[:t + 1], 1)[row]
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("label").take(take), pa.array(np.full(len(row), t, np.int32)), pa.array(found[t][row, at]), part.column("id").take(take), part.column("mult").take(take),
-                        part.column("x").take(take), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (t + 1) * SPILL), pa.array(early.ravel()))], schema=schema)
-
-    routed = reps.select("label", "id", "mult", "x").mapInArrow(route, "label string, tree int, leaf long, id long, mult long, x array<double>, leaves array<long>")
-    routed = stages.put(routed, "routed")
-    # a leaf's blocks, by its size; block pairs of large leaves go to tasks of their own
-    sizes = routed.groupBy("label", "tree", "leaf").count().where("count > 1").select(
-        F.col("label").alias("l"), F.col("tree").alias("t"), F.col("leaf").alias("f"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = routed.join(sizes, (F.col("label") == F.col("l")) & (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("f"))).drop("l", "t", "f")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
-
-    def leaf(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[1])
-        if key[3] == key[4]:
-            count, edges = compare(part, None, tree, least, int(key[2]))
-        else:
-            one, two = part[part["own"] == key[3]], part[part["own"] == key[4]]
-            count, edges = compare(one, two, tree, least, int(key[2])) if len(one) and len(two) else ({}, set())
-        rows = [(i, -1, c) for i, c in count.items()] + [(a, b, 0) for a, b in edges]
-        return pd.DataFrame(rows, columns=["a", "b", "n"]).astype("int64")
+    schema = pa.schema([("label", pa.string()), ("leaf", pa.int64()), ("id", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(arrow)), ("leaves", pa.list_(pa.int64()))])
 
-    found = stages.put(dealt.groupBy("label", "tree", "leaf", "b1", "b2").applyInPandas(leaf, "a long, b long, n long"), "found")
+    def in_tree(tree: int) -> DataFrame:
+        """(a, b, n) of one tree: counts of a vector a (b = -1), and spanning edges (n = 0)."""
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2000):
+                    part = batch.slice(lo, 2000)
+                    x, good = _unit(part.column("x"))
+                    if x.shape[1] != width or not width:
+                        continue
+                    found = [forest.value.leaves(x, t) for t in range(tree + 1)]
+                    row, at = np.nonzero((found[tree] >= 0) & good[:, None])
+                    take = pa.array(row)
+                    leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (tree + 1) * SPILL), pa.array(np.concatenate(found, 1)[row].ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("label").take(take), pa.array(found[tree][row, at]), part.column("id").take(take), part.column("mult").take(take), part.column("x").take(take), leaves], schema=schema)
+
+        def compared(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            if key[2] == key[3]:
+                count, edges = compare(part, None, tree, least, int(key[1]))
+            else:
+                one, two = part[part["own"] == key[2]], part[part["own"] == key[3]]
+                count, edges = compare(one, two, tree, least, int(key[1])) if len(one) and len(two) else ({}, set())
+            rows = [(i, -1, c) for i, c in count.items()] + [(a, b, 0) for a, b in edges]
+            return pd.DataFrame(rows, columns=["a", "b", "n"]).astype("int64")
+
+        routed = stages.put(reps.select("label", "id", "mult", "x").mapInArrow(route, f"label string, leaf long, id long, mult long, x array<{number}>, leaves array<long>"), f"tree{tree}")
+        # a leaf's blocks, by its size; block pairs of large leaves go to tasks of their own
+        sizes = routed.groupBy("label", "leaf").count().where("count > 1").select(F.col("label").alias("l"), F.col("leaf").alias("f"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        dealt = routed.join(sizes, (F.col("label") == F.col("l")) & (F.col("leaf") == F.col("f"))).drop("l", "f")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
+        found = stages.put(dealt.groupBy("label", "leaf", "b1", "b2").applyInPandas(compared, "a long, b long, n long"), f"found{tree}")
+        stages.drop(routed)
+        return found
+
+    # one tree after another, so that one tree's copies of the vectors are on disk at a time
+    found = in_tree(0)
+    for tree in range(1, trees):
+        found = found.unionByName(in_tree(tree))
     parts = components(found.where("n = 0").select("a", "b"), stages)
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    usable = routed.where("tree = 0").select("id").distinct()
-    facts = (classes.join(usable.select(F.col("id").alias("rep")), "rep").join(counts.select(F.col("a").alias("rep"), "n"), "rep", "left")
+    # copies of a vector that is unusable (zero, not finite, of another length) are not linked
+    ends = F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
+    finite = ~F.exists(ends, lambda v: F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(ends, lambda v: v != 0)
+    usable = reps.where(F.col("x").isNotNull() & (F.size("x") == width) & finite).select(F.col("id").alias("rep"))
+    facts = (classes.join(usable, "rep").join(counts.select(F.col("a").alias("rep"), "n"), "rep", "left")
              .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
              .select(F.col("label").alias("l"), F.col("key").alias("k"), F.col("key2").alias("k2"),
                      (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
