@@ -296,7 +296,8 @@ def expected_counts(spark, sf):
 
 
 _FLUX = """
-WITH e(i, j, f) AS (VALUES (0, 1, 0.3), (0, 2, 0.2), (1, 2, 0.1), (1, 3, 0.2), (2, 3, 0.3), (2, 1, 0.05)),
+WITH v(i, j, g) AS (VALUES (0, 1, 0.3), (0, 2, 0.2), (1, 2, 0.1), (1, 3, 0.2), (2, 3, 0.3), (2, 1, 0.05)),
+e AS (SELECT i, j, g::DOUBLE f FROM v),
 n AS (SELECT a.i, a.j, greatest(a.f - coalesce(b.f, 0), 0) f FROM e a LEFT JOIN e b ON a.i = b.j AND a.j = b.i)
 """
 
