@@ -30,29 +30,35 @@ MAX_NODES = 1_000_000
 #: Words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 200_000
 PIECE = 1 << 21
+#: Distinct words or n-grams that a task holds before it passes their counts on.
+HELD = 1 << 20
 #: Bytes that UTF-8 never has: before a text, and its end.
 PAD, END = 0xFE, 0xFF
 END_WORD = np.uint64(0x5DEECE66D1234567)
 
 
-def _codes(buf: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _codes(buf: np.ndarray, offsets: np.ndarray, order: int, rows: bool = True) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
     """(row, code) of every symbol of the texts and their ends: the symbol in the low byte, the order bytes before it above."""
     n = len(offsets) - 1
     at = offsets + np.arange(n + 1) * (order + 1)
     seq = np.full(int(at[-1] - at[0]) if n else 0, PAD, np.uint8)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    seq[np.arange(len(buf)) + (row + 1) * order + row] = buf
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    seq[np.arange(len(buf)) + ((row + 1).astype(np.int64) * (order + 1) - 1)] = buf
     seq[at[1:] - 1] = END
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at)) if rows else None
     for a in range(0, len(seq), PIECE):
         z = min(len(seq), a + PIECE)
         head = max(0, a - order)
-        part = seq[head:z].astype(np.uint64)
-        code = np.zeros(z - a, np.uint64)
-        for j in range(order, -1, -1):
-            lag = part[max(0, a - head - j):z - head - j]
-            code[len(code) - len(lag):] |= lag << np.uint64(8 * j)
+        # codes of 1, 2, 4, .. bytes, doubled up and cut to order + 1
+        code, width = seq[head:z].astype(np.uint64), 1
+        while width <= order:
+            step = code.copy()
+            step[width:] |= code[:-width] << np.uint64(8 * width)
+            code, width = step, 2 * width
+        if order < 7:
+            code &= np.uint64((1 << 8 * (order + 1)) - 1)
         real = np.flatnonzero(seq[a:z] != PAD)
-        yield np.searchsorted(at, real + a, side="right") - 1, code[real]
+        yield (row[a:z][real] if rows else None), code[a - head:][real]
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +70,31 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     """(kind, code, n): counts of words (kind 0, the end included) and of n-grams of order + 1 bytes (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+        def flush(kind: int) -> pa.RecordBatch:
+            codes, n = merged(held[kind])
+            held[kind] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(codes.view(np.int64)), pa.array(n)], schema=schema)
+
         for batch in batches:
             buf, offsets = bt.column_bytes(batch.column(0))
             for lo, hi in bt.row_slices(offsets, PIECE):
                 part, at = buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
                 words, _ = _words(part, at)
-                for kind, found in [(0, np.append(words, np.full(hi - lo, END_WORD)))] + [(1, c) for _, c in _codes(part, at, order)]:
-                    codes, n = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+                held[0].append(np.unique(np.append(words, np.full(hi - lo, END_WORD)), return_counts=True))
+                held[1] += [np.unique(c, return_counts=True) for _, c in _codes(part, at, order, False)]
+                for kind in (0, 1):
+                    if sum(len(c) for c, _ in held[kind]) > HELD:
+                        yield flush(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield flush(kind)
 
     return docs.mapInArrow(scan, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
@@ -110,6 +132,8 @@ class Trie:
                 at, _ = self._find(low["codes"], codes & np.uint64((1 << 8 * k) - 1))
                 up, _ = self._find(low["contexts"], contexts & np.uint64((1 << 8 * (k - 1)) - 1))
                 below = low["total"][up] - np.bincount(inverse, low["counts"][at], len(contexts)) + low["distinct"][up] - distinct
+            if k == order:  # seen symbols of the longest contexts need no escape
+                self.direct = np.log10(counts / (total + distinct)[inverse]) if len(codes) else counts
             self.orders.append({"codes": codes, "counts": counts.astype(np.float32) if counts.max(initial=0) < 1 << 24 else counts, "contexts": contexts, "total": total, "distinct": distinct, "below": below})
 
     @staticmethod
@@ -119,9 +143,11 @@ class Trie:
         return at, (table[at] == x) if len(table) else np.zeros(len(x), bool)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its context."""
+        """log10 probability of each code's symbol after its context; ascending codes are looked up fastest."""
         out = np.zeros(len(codes))
-        live = np.arange(len(codes))
+        at, seen = self._find(self.orders[-1]["codes"], codes)
+        out[seen] = self.direct[at[seen]]
+        live = np.flatnonzero(~seen)
         mass, seen = np.full(len(codes), np.nan), np.zeros(len(codes))  # what is left at this order; symbols excluded
         for k in range(self.order, -1, -1):
             table = self.orders[k]
@@ -250,7 +276,9 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, max_nodes: int
                 score = np.zeros(m)
                 for row, code in _codes(part, at, order):
                     inverse, unique = pd.factorize(code)
-                    score += np.bincount(row, trie.log10(unique)[inverse], m)
+                    by, value = np.argsort(unique), np.empty(len(unique))
+                    value[by] = trie.log10(unique[by])
+                    score += np.bincount(row, value[inverse], m)
                 found, ends = _words(part, at)
                 row = np.append(np.repeat(np.arange(m), np.diff(ends)), np.arange(m))
                 found = np.append(found, np.full(m, END_WORD))
