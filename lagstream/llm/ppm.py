@@ -29,9 +29,9 @@ ORDER = 5
 MAX_NODES = 1_000_000
 #: Words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 200_000
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Distinct words or n-grams that a task holds before it passes their counts on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Bytes that UTF-8 never has: before a text, and its end.
 PAD, END = 0xFE, 0xFF
 END_WORD = np.uint64(0x5DEECE66D1234567)
