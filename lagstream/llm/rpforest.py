@@ -1,7 +1,8 @@
 """Operator 6, near-duplicate embeddings by a forest of random projection trees with spill.
 
 Trees split recursively at the median of a random direction, fitted on a bounded sample; every vector is routed
-down every tree, into both children where it lies near a split. Vectors are compared within leaves, blockwise,
+down every tree, into both children wherever it lies near a split, however often. A node that most of its sample
+lies near the split of is not split, so a dense cluster stays whole. Vectors are compared within leaves, blockwise,
 in double precision. A pair that several leaves bring together is counted in the first of them only, so links
 are counted in place and never listed; what leaves a leaf is a count for each vector and a spanning forest of
 its links. Leaves of more than BLOCK vectors are compared as pairs of blocks, by as many tasks.
@@ -27,13 +28,15 @@ TREES = 4
 SAMPLE = 20_000
 #: Vectors a leaf should have, and the rows of a block.
 LEAF, BLOCK = 192, 2048
-#: Leaves of one tree that a vector can lie in at most; the splits it is nearest to count.
-SPILL = 8
+#: A node is a leaf where more than this share of its sample lies near the split: both children together would have
+#: more pairs than the node, 2 ((1 + share) / 2)^2 > 1.
+CROWDED = math.sqrt(2) - 1
 
 
 class Forest:
     """Random directions for each tree and level, and thresholds for each node (medians of the sample; below
-    8 sample vectors, of the node above)."""
+    8 sample vectors, of the node above; not a number where the node is a leaf). The root is node 1, the children
+    of node i are 2 i and 2 i + 1."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, margin: float, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -50,37 +53,35 @@ class Forest:
                 order = np.argsort(node, kind="stable")
                 at = np.searchsorted(node[order], np.arange(len(cut) + 1))
                 for i in np.flatnonzero(np.diff(at) >= 8):
-                    cut[i] = np.median(x[order[at[i]:at[i + 1]], level])
+                    own = x[order[at[i]:at[i + 1]], level]
+                    cut[i] = np.median(own)
+                    if (np.abs(own - cut[i]) < margin).mean() > CROWDED:
+                        cut[i] = math.nan
                 cuts.append(cut)
                 above = cut
+                split = ~np.isnan(cut[node])
+                x, node = x[split], node[split]
                 node = node * 2 + (x[:, level] > cut[node])
             self.thresholds.append(cuts)
 
-    def leaves(self, x: np.ndarray, tree: int) -> np.ndarray:
-        """Leaf ids (rows x SPILL, -1 where unused) of unit vectors."""
+    def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf of unit vectors."""
         z = x @ self.directions[tree]
-        out = np.full((len(x), SPILL), -1, np.int64)
-        out[:, 0] = 0
-        used = np.ones(len(x), np.int64)
+        row, node, ends = np.arange(len(x)), np.ones(len(x), np.int64), []
         for level in range(self.depth):
-            cut = self.thresholds[tree][level]
-            new, count = np.full_like(out, -1), np.zeros(len(x), np.int64)
-            rest: list[tuple[np.ndarray, np.ndarray]] = []
-            for j in range(int(used.max())):
-                has = np.flatnonzero(out[:, j] >= 0)
-                node = out[has, j]
-                gap = z[has, level] - cut[node]
-                new[has, count[has]] = node * 2 + (gap > 0)
-                count[has] += 1
-                near = np.abs(gap) < self.margin
-                rest.append((has[near], node[near] * 2 + (gap[near] <= 0)))
-            for who, node in rest:
-                fits = count[who] < SPILL
-                who, node = who[fits], node[fits]
-                new[who, count[who]] = node
-                count[who] += 1
-            out, used = new, count
-        return out
+            gap = z[row, level] - self.thresholds[tree][level][node - (1 << level)]
+            leaf = np.isnan(gap)
+            ends.append((row[leaf], node[leaf]))
+            row, node, gap = row[~leaf], node[~leaf] * 2 + (gap[~leaf] > 0), gap[~leaf]
+            near = np.abs(gap) < self.margin
+            row, node = np.append(row, row[near]), np.append(node, node[near] ^ 1)
+        ends.append((row, node))
+        return np.concatenate([r for r, _ in ends]), np.concatenate([n for _, n in ends])
+
+
+def _place(tree: int, leaf: np.ndarray | int) -> np.ndarray | int:
+    """One number for a leaf of a tree, ascending by tree."""
+    return leaf + (tree << 48)
 
 
 def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,27 +109,36 @@ def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, good
 
 
-def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of two leaf tables share a leaf."""
-    return ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any((1, 2))
+def _meet(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether lists of places (each without repeats) share one: len(a) x len(b)."""
+    one, two = np.concatenate(a), np.concatenate(b)
+    row, row2 = (np.repeat(np.arange(len(lists)), [len(x) for x in lists]) for lists in (a, b))
+    both, met = np.intersect1d(one, two), np.zeros((len(a), len(b)), bool)
 
+    def holds(places: np.ndarray, rows: np.ndarray, n: int, some: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(some, places), len(some) - 1)
+        has = some[at] == places
+        out = np.zeros((n, len(some)), np.float32)
+        out[rows[has], at[has]] = 1
+        return out
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least leaf that rows of two leaf tables share."""
-    shared = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
-    return np.where(shared, a, np.iinfo(np.int64).max).min(1)
+    for lo in range(0, len(both), 1024):
+        some = both[lo:lo + 1024]
+        met |= holds(one, row, len(a), some) @ holds(two, row2, len(b), some).T > 0
+    return met
 
 
 def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: float, leaf: int | None = None) -> tuple[dict[int, int], set[tuple[int, int]]]:
     """Links within left, or between left and right: each vector's multiplicity-weighted count, and spanning edges.
 
-    Rows have id, mult, x (float vectors) and leaves (leaf ids by tree up to this one, flattened). A pair counts here
+    Rows have id, mult, x (float vectors) and leaves (places in all trees up to this one). A pair counts here
     if it shares no leaf of an earlier tree and this leaf is the first it shares in this one (leaf None: always)."""
+    here = None if leaf is None else _place(tree, leaf)
 
     def arrays(part: pd.DataFrame):
         x = np.array(part["x"].tolist(), np.float64)
         x /= np.sqrt((x * x).sum(1))[:, None]
-        early = None if leaf is None else np.array(part["leaves"].tolist(), np.int64).reshape(len(part), tree + 1, SPILL)
+        early = None if leaf is None else [p[p < here] for p in map(np.asarray, part["leaves"])]
         return part["id"].to_numpy(), part["mult"].to_numpy(), x, early
 
     ids, mult, x, early = arrays(left)
@@ -151,12 +161,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: fl
         i, j = np.nonzero(hit)
         i += lo
         if leaf is not None and len(i):
-            fresh = np.ones(len(i), bool)
-            for a in range(0, len(i), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                fresh[s] = _first_shared(early[i[s], tree], early2[j[s], tree]) == leaf
-                for t in range(tree):
-                    fresh[s] &= ~_together(early[i[s], t], early2[j[s], t])
+            rows, at = np.unique(i, return_inverse=True)
+            rows2, at2 = np.unique(j, return_inverse=True)
+            fresh = ~_meet([early[k] for k in rows], [early2[k] for k in rows2])[at, at2]
             i, j = i[fresh], j[fresh]
         np.add.at(count, i, mult2[j])
         np.add.at(count2, j, mult[i])
@@ -215,10 +222,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
                     if x.shape[1] != width or not width:
                         continue
                     found = [forest.value.leaves(x, t) for t in range(tree + 1)]
-                    row, at = np.nonzero((found[tree] >= 0) & good[:, None])
-                    take = pa.array(row)
-                    leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (tree + 1) * SPILL), pa.array(np.concatenate(found, 1)[row].ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column("label").take(take), pa.array(found[tree][row, at]), part.column("id").take(take), part.column("mult").take(take), part.column("x").take(take), leaves], schema=schema)
+                    row, place = np.concatenate([r for r, _ in found]), np.concatenate([_place(t, leaf) for t, (_, leaf) in enumerate(found)])
+                    by = np.lexsort((place, row))
+                    places, at = place[by], np.searchsorted(row[by], np.arange(len(x) + 1))
+                    row, leaf = found[tree]
+                    row, leaf = row[good[row]], leaf[good[row]]
+                    for a in range(0, len(row), 20_000):
+                        r = row[a:a + 20_000]
+                        take, many = pa.array(r), at[r + 1] - at[r]
+                        ends = np.append(0, np.cumsum(many))
+                        leaves = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places[np.arange(ends[-1]) + np.repeat(at[r] - ends[:-1], many)]))
+                        yield pa.RecordBatch.from_arrays([part.column("label").take(take), pa.array(leaf[a:a + 20_000]), part.column("id").take(take), part.column("mult").take(take), part.column("x").take(take), leaves], schema=schema)
 
         def compared(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             if key[2] == key[3]:

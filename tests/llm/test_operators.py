@@ -442,6 +442,21 @@ def test_forest_against_brute_force(spark, monkeypatch):
     assert rpforest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_forest_keeps_links_of_a_dense_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    d, n = 32, 2100
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:700] = x[0] + rng.standard_normal((700, d)) * 0.025  # a third in one cluster, near the median of many splits
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(rpforest, "LEAF", 1)  # 12 levels
+    got = rpforest.near_vectors(spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    have = {r["id"]: r["n_links"] for r in got.collect()}
+    assert want.sum() > 10_000 and all(have[i] <= want[i] for i in range(n))
+    assert sum(have.values()) >= 0.995 * want.sum()
+
+
 def test_blocks_of_a_large_leaf_count_once():
     rng = np.random.default_rng(0)
     import pandas as pd
