@@ -1,14 +1,17 @@
 """Operator 4, language-model scoring by prediction by partial matching over bytes.
 
 Training: one scan counts byte n-grams and words of all training texts, pre-aggregated by Arrow batch and by
-mapper; grouped sums give every order's context nodes. The trie is bounded by MAX_NODES a context order: the
-contexts seen least are left out whole, so what remains is a proper model (a context that is absent passes to
-the next shorter one at no cost). Escapes are estimated by method C: a context seen n times with d symbols
-escapes with d / (n + d). Symbols of longer contexts are excluded from shorter ones; the denominators after
-exclusion are worked out once for each context.
-
-Scoring: the bounded trie and the counts of the most frequent words are broadcast; rarer words are counted by
-a join, so the word model has no bound. Adaptive scoring learns from the text itself while it is read.
+mapper. Escapes are estimated by method C: a context seen n times with d symbols escapes with d / (n + d). Symbols
+of longer contexts are excluded from shorter ones; the denominators after exclusion are worked out once for each
+context.
+
+The model keeps every context. N-grams are dealt out by the last two bytes of their contexts, so a task has all
+nodes of two and more context bytes that its n-grams pass through; those of shorter contexts, 65,792 at most, go to
+every task. A task works out the log probability of each of its n-grams, those of held-out texts included.
+
+Scoring: the log probabilities of the most frequent n-grams and the counts of the most frequent words are
+broadcast; rarer ones are joined, so neither model has a bound. Adaptive scoring learns from the text itself while
+it is read.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from lagstream.llm import bytetext as bt
 from lagstream.llm.common import Stages, read_table
 
 ORDER = 5
-#: Nodes a context order; 12 bytes each in a worker.
-MAX_NODES = 1_000_000
-#: Words whose counts are broadcast; the others are joined.
-HEAD_WORDS = 200_000
+#: Words whose counts, and n-grams whose log probabilities are broadcast (16 bytes each); the others are joined.
+HEAD_WORDS, HEAD_GRAMS = 200_000, 2_000_000
+#: N-grams of a part of the model, on average.
+PART = 500_000
 PIECE = 1 << 20
 #: Distinct words or n-grams that a task holds before it passes their counts on.
 HELD = 1 << 18
@@ -66,7 +69,7 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bt.hash_words(buf, starts, ends), rows
 
 
-def gather(docs: DataFrame, order: int) -> DataFrame:
+def gather(docs: DataFrame, order: int, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(kind, code, n): counts of words (kind 0, the end included) and of n-grams of order + 1 bytes (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
@@ -86,8 +89,9 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
             buf, offsets = bt.column_bytes(batch.column(0))
             for lo, hi in bt.row_slices(offsets, PIECE):
                 part, at = buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-                words, _ = _words(part, at)
-                held[0].append(np.unique(np.append(words, np.full(hi - lo, END_WORD)), return_counts=True))
+                if 0 in kinds:
+                    words, _ = _words(part, at)
+                    held[0].append(np.unique(np.append(words, np.full(hi - lo, END_WORD)), return_counts=True))
                 held[1] += [np.unique(c, return_counts=True) for _, c in _codes(part, at, order, False)]
                 for kind in (0, 1):
                     if sum(len(c) for c, _ in held[kind]) > HELD:
@@ -173,7 +177,8 @@ class Trie:
 
 
 def fit(counts: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the n-grams of counts (kind 1); at most max_nodes nodes of each order come to the driver."""
+    """One trie of the n-grams of counts (kind 1), with at most max_nodes nodes of each order, by least-seen contexts;
+    scores() does without it."""
     grams = counts.where("kind = 1")
     every = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("code")) for k in range(order + 1)))
     nodes = grams.select(F.explode(every).alias("x"), "n").groupBy("x.k", "x.code").agg(F.sum("n").alias("n"))
@@ -197,6 +202,41 @@ def fit(counts: DataFrame, order: int, max_nodes: int) -> Trie:
     return Trie({o: (code[k == o].view(np.uint64), n[k == o]) for o in range(order + 1)}, order)
 
 
+def _node_counts(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    nodes, inverse = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return nodes, np.bincount(inverse, n, len(nodes))
+
+
+def log_probabilities(trained: DataFrame, asked: DataFrame, order: int) -> DataFrame:
+    """(code, n, p): count and log10 probability of each n-gram of trained and asked (code, n), by the whole model of trained."""
+    spark = trained.sparkSession
+    short = min(order, 1)
+    # nodes of at most one context byte: 256 * 257 rows at most
+    low = trained.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (short + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    low_codes, low_n = low.column("code").to_numpy().view(np.uint64), low.column("n").to_numpy()
+    model = spark.sparkContext.broadcast({k: _node_counts(low_codes, low_n, k) for k in range(short + 1)})
+    every = trained.select("code", "n", F.lit(True).alias("known")).unionByName(asked.select("code", "n", F.lit(False).alias("known")))
+    pieces = max(spark.sparkContext.defaultParallelism, every.count() // PART + 1)
+    schema = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("p", pa.float64())])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = list(batches)
+        if not table:
+            return
+        table = pa.Table.from_batches(table)
+        code, n, known = (table.column(c).to_numpy() for c in ("code", "n", "known"))
+        code = code.view(np.uint64)
+        trie = Trie(model.value | {k: _node_counts(code[known], n[known], k) for k in range(short + 1, order + 1)}, order)
+        codes, inverse = np.unique(code, return_inverse=True)
+        n = np.bincount(inverse, n, len(codes)).astype(np.int64)
+        for lo in range(0, len(codes), HELD):
+            some = codes[lo:lo + HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n[lo:lo + HELD]), pa.array(trie.log10(some))], schema=schema)
+
+    suffix = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * min(order, 2)) - 1))
+    return every.repartition(pieces, suffix).mapInArrow(part, "code long, n long, p double")
+
+
 def adaptive_log10(text: bytes, order: int = ORDER) -> float:
     """log10 probability of a text and its end by a trie that starts empty and learns as it reads (method C, exclusion)."""
     trie: dict[bytes, dict[int, int]] = {}
@@ -241,7 +281,7 @@ def held_out(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, max_nodes: int = MAX_NODES, head_words: int = HEAD_WORDS,
+def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, head_words: int = HEAD_WORDS, head_grams: int = HEAD_GRAMS,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -259,26 +299,42 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, max_nodes: int
     facts = words.groupBy(_level(F.col("n")).alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
     tokens, distinct = sum(r["n"] for r in facts), sum(r["d"] for r in facts)
     least = _least([(r["level"], r["d"]) for r in facts], head_words)
-    head = words.where(_level(F.col("n")) >= least).select("code", "n").toArrow()
-    codes, n = head.column("code").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    by = np.argsort(codes)
-    model = spark.sparkContext.broadcast((fit(counts, order, max_nodes), codes[by], n[by]))
+    held = stages.put(gather(rows.where("held_out").select("text"), order, (1,)), "held")
+    grams = stages.put(log_probabilities(counts.where("kind = 1").select("code", "n"), held.select("code", "n"), order), "grams")
+    levels = grams.groupBy(_level(F.col("n")).alias("level")).count().collect()
+    least_gram = _least([(r["level"], r["count"]) for r in levels], head_grams)
+    stages.drop(held)
+
+    def head(table: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+        found = table.where(_level(F.col("n")) >= least).select("code", value).toArrow()
+        codes = found.column("code").to_numpy().view(np.uint64)
+        by = np.argsort(codes)
+        return codes[by], found.column(value).to_numpy()[by]
+
+    model = spark.sparkContext.broadcast((head(grams, least_gram, "p"), head(words, least, "n")))
     whole = tokens + 0.1 * (distinct + 1)
-    schema = pa.schema([("rid", pa.int64()), ("h", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("rid", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head_codes, head_n = model.value
+        (gram_codes, gram_p), (head_codes, head_n) = model.value
         for batch in batches:
             buf, offsets = bt.column_bytes(batch.column(2))
             for lo, hi in bt.row_slices(offsets, PIECE):
                 part, at = buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
                 m = hi - lo
-                score = np.zeros(m)
+                score, rare_rows, rare_codes = np.zeros(m), [], []
                 for row, code in _codes(part, at, order):
                     inverse, unique = pd.factorize(code)
-                    by, value = np.argsort(unique), np.empty(len(unique))
-                    value[by] = trie.log10(unique[by])
+                    by, value = np.argsort(unique), np.zeros(len(unique))
+                    spot, hit = Trie._find(gram_codes, unique[by])
+                    value[by[hit]] = gram_p[spot[hit]]
                     score += np.bincount(row, value[inverse], m)
+                    if not hit.all():
+                        gone = np.zeros(len(unique), bool)
+                        gone[by[~hit]] = True
+                        gone = gone[inverse]
+                        rare_rows.append(row[gone])
+                        rare_codes.append(code[gone])
                 found, ends = _words(part, at)
                 row = np.append(np.repeat(np.arange(m), np.diff(ends)), np.arange(m))
                 found = np.append(found, np.full(m, END_WORD))
@@ -287,18 +343,21 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, max_nodes: int
                 base = np.bincount(row[hit], np.log10((c[hit] + 0.1) / whole), m)
                 known = np.bincount(row[hit], minlength=m)
                 rid = batch.column(0).slice(lo, m).to_numpy()
-                # rare words, once for each row, beside one row of the text's own facts under a key that no word shares but by chance
-                pair = np.stack([row[~hit].astype(np.uint64), found[~hit]])
-                order_ = np.lexsort((pair[1], pair[0]))
-                r, w = pair[0][order_], pair[1][order_]
+                # rare words and n-grams, once for each row, beside one row of the text's own facts under a kind of its own
+                r = np.concatenate([row[~hit], *rare_rows]).astype(np.int64)
+                w = np.concatenate([found[~hit], *rare_codes])
+                kind = np.repeat(np.array([0, 1], np.int32), [np.count_nonzero(~hit), sum(map(len, rare_rows))])
+                order_ = np.lexsort((w, kind, r))
+                r, w, kind = r[order_], w[order_], kind[order_]
                 first = np.ones(len(r), bool)
-                first[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+                first[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1]) | (kind[1:] != kind[:-1])
                 where = np.flatnonzero(first)
                 times = np.diff(np.append(where, len(r)))
                 t = len(where)
                 none = lambda values, kind: pa.array(np.append(values, np.zeros(t, values.dtype)), kind, mask=np.append(np.zeros(m, bool), np.ones(t, bool)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(rid, rid[r[where].astype(np.int64)])),
+                    pa.array(np.append(rid, rid[r[where]])),
+                    pa.array(np.append(np.full(m, 2, np.int32), kind[where])),
                     pa.array(np.append(bt.mix(rid.astype(np.uint64) + np.uint64(1)), w[where]).view(np.int64)),
                     pa.array(np.append(np.zeros(m, np.int64), times)),
                     pa.concat_arrays([batch.column(1).slice(lo, m), pa.nulls(t, pa.int64())]),
@@ -307,14 +366,16 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, max_nodes: int
                 ], schema=schema)
 
     parts = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out").mapInArrow(
-        scan, "rid long, h long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-    rare = words.where(_level(F.col("n")) < least).select(F.col("code").alias("h"), F.col("n").alias("c"))
-    c = F.coalesce(F.col("c"), F.lit(0))
+        scan, "rid long, kind int, h long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    rare = (words.where(_level(F.col("n")) < least).select(F.lit(0).alias("rk"), F.col("code").alias("rh"), F.col("n").cast("double").alias("c"))
+            .unionByName(grams.where(_level(F.col("n")) < least_gram).select(F.lit(1).alias("rk"), F.col("code").alias("rh"), F.col("p").alias("c"))))
+    c, word = F.coalesce(F.col("c"), F.lit(0.0)), F.col("kind") == 0
     return (
-        parts.join(rare, "h", "left").groupBy("rid")
+        parts.join(rare, (F.col("h") == F.col("rh")) & (F.col("kind") == F.col("rk")), "left").groupBy("rid")
         .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-             (F.max("known") + F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
-             (F.max("base") + F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(float(whole))))).alias("base_score"), F.max("score").alias("score"))
+             (F.max("known") + F.sum(F.when(word & (c > 0), F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
+             (F.max("base") + F.sum(F.when(word, F.col("times") * F.log10((c + 0.1) / F.lit(float(whole)))).otherwise(F.lit(0.0)))).alias("base_score"),
+             (F.max("score") + F.sum(F.when(F.col("kind") == 1, F.col("times") * c).otherwise(F.lit(0.0)))).alias("score"))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"))
 
 

@@ -294,6 +294,18 @@ def test_ppm_against_brute_force(spark):
         assert math.isclose(r.score, log10(t or ""), rel_tol=1e-6, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("order", [0, 1, 2, 5])
+def test_ppm_keeps_every_context(spark, monkeypatch, order):
+    rng = np.random.default_rng(order)
+    docs = [(i, " ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(int(rng.integers(0, 9))))) for i in range(60)]
+    for name, most in (("MAX_NODES", 30), ("PART", 100)):  # far fewer than the corpus holds
+        monkeypatch.setattr(ppm, name, most, raising=False)
+    some = {k: 30 for k in ("max_nodes", "head_grams") if k in ppm.scores.__code__.co_varnames}
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(spark.createDataFrame(docs, "doc_id long, text string"), order=order, **some).collect()}
+    log10 = ppm_brute([t for i, t in docs if zlib.crc32(str(i).encode()) % 10], order)
+    assert all(math.isclose(got[i], log10(t), rel_tol=1e-6, abs_tol=1e-6) for i, t in docs)
+
+
 def test_ppm_is_a_distribution_also_when_pruned(spark):
     docs = [(i, t) for i, t in enumerate(["abab abba", "baab abab", "abracadabra", "banana band"] * 5)]
     rows = spark.createDataFrame(docs, "doc_id long, text string").select("text")
