@@ -17,12 +17,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fit some language; the source is the host, lang the declared language. Rejected are texts
-    without letters and those that every language explains worse than evenly drawn trigrams."""
+    """Documents of a language, with the identified one as lang; the source is the host, lang the declared language.
+    Rejected are texts without letters, those that every language explains worse than evenly drawn trigrams, and
+    those whose language has a fused posterior of one half or less. Rows are told apart by 64-bit hashes."""
     profiles = langid.train(docs)
-    found = langid.identify(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared")), profiles)
-    rejected = found.where("not accepted").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64("doc_id", "text", "source", "lang")
+    found = langid.identify(docs.select(key.alias("id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared")), profiles)
+    keep = F.col("accepted") & (F.col("posterior") > 0.5)
+    # few rows: those rejected, and those of another language than declared
+    changed = found.where(~keep | ~F.col("lang").eqNullSafe(F.col("declared"))).select(F.col("id").alias("_changed"), F.when(keep, F.col("lang")).alias("_lang")).dropDuplicates(["_changed"])
+    known = docs.withColumn("_key", key).join(changed, F.col("_key") == F.col("_changed"), "left").where("_changed is null or _lang is not null")
+    return known.withColumn("lang", F.coalesce("_lang", "lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,15 @@ def test_pipeline_stages(spark):
     assert mixed.position.is_monotonic_increasing and set(mixed.doc_id) <= set(kept["personal_data"])
 
 
+def test_language_stage_acts_on_the_decision(spark):
+    en, fr = "the and of to in that this with from house green water stone ", "le la les des une pour dans avec sur maison verte eau pierre "
+    rows = [(i, (en, fr)[i % 2] * 3, ("en", "fr")[i % 2], "a") for i in range(40)] + [(100, fr * 4, "en", "a"), (101, en * 2, None, "a"), (102, "12345", "en", "a"), (None, "###", "en", "a"), (103, en, "en", "a"), (103, fr, "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.language_id(spark, docs, DIR).collect()))
+    want = {**{i: lang for i, _, lang, _ in rows[:40]}, 100: "fr", 101: "en"}
+    assert out == sorted([(i, t, want[i]) for i, t, _, _ in rows if i in want] + [(103, en, "en"), (103, fr, "fr")])
+
+
 def test_stages_take_edge_rows(spark):
     from test_operators import edge_rows, table
 
