@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,6 @@ from lagstream.llm.common import Stages, read_table
 
 #: Trigram classes of a profile; a power of two.
 BUCKETS = 1 << 16
-#: Languages with a profile: the most frequent ones (a worker holds BUCKETS * LANGUAGES * 4 bytes).
-LANGUAGES = 64
 SMOOTH = 0.5
 #: Pseudo-counts of a host's and a domain's prior.
 HOST_WEIGHT, DOMAIN_WEIGHT, LABEL_WEIGHT = 8.0, 8.0, 2.0
@@ -58,18 +56,27 @@ def _trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Profiles:
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        self.table = np.log((counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)).astype(np.float32)
+    """Of each language, the log probabilities of its seen trigram classes (6 bytes each) and that of any other class."""
+
+    def __init__(self, languages: list[str], counts: Iterable[np.ndarray]):
+        self.languages, self.seen = languages, []
+        for c in counts:
+            at, whole = np.flatnonzero(c), c.sum() + SMOOTH * BUCKETS
+            self.seen.append((at.astype(np.uint16), np.log((c[at] + SMOOTH) / whole).astype(np.float32), np.float32(np.log(SMOOTH / whole))))
 
     def likelihoods(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Summed log likelihoods (texts x languages) and the trigrams of each text."""
         n = len(offsets) - 1
         rows, buckets = _trigrams(buf, offsets)
-        return (np.stack([np.bincount(rows, t[buckets], n) for t in self.table], 1) if len(self.table) else np.zeros((n, 0))), np.bincount(rows, minlength=n)
+        out, table = np.zeros((n, len(self.seen))), np.empty(BUCKETS, np.float32)
+        for i, (at, logs, other) in enumerate(self.seen):
+            table[:] = other
+            table[at] = logs
+            out[:, i] = np.bincount(rows, table[buckets], n)
+        return out, np.bincount(rows, minlength=n)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> Profiles:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages named in docs, from all its texts; rows of null language are left out."""
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -87,15 +94,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most:
               .mapInArrow(scan, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     stages = Stages(docs.sparkSession, "profiles")
     counts = stages.put(counts, "counts")
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    languages = sorted(r["lang"] for r in top)
-    found = counts.where(F.col("lang").isin(languages)).toArrow()  # at most LANGUAGES * BUCKETS rows
-    table = np.zeros((len(languages), BUCKETS))
-    if languages:
-        at = np.searchsorted(np.array(languages, object), found.column("lang").to_numpy())
-        np.add.at(table, (at, found.column("bucket").to_numpy()), found.column("n").to_numpy())
+    found = counts.toArrow()  # a row for each language and class seen in it
+    codes = found.column("lang").combine_chunks().dictionary_encode()
+    names, own = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    by = np.argsort(own, kind="stable")
+    at, buckets, n = np.searchsorted(own[by], np.arange(len(names) + 1)), found.column("bucket").to_numpy()[by], found.column("n").to_numpy()[by]
+    ranks = sorted(range(len(names)), key=names.__getitem__)
+    tables = (np.bincount(buckets[at[i]:at[i + 1]], n[at[i]:at[i + 1]], BUCKETS) for i in ranks)
     stages.drop(counts)
-    return Profiles(languages, table)
+    return Profiles([names[i] for i in ranks], tables)
 
 
 def evidence(rows: DataFrame, profiles: Profiles, markup: bool) -> DataFrame:

@@ -351,6 +351,15 @@ def test_language_fusion(spark):
     assert r == {1: ("example.com", "fr"), 2: (None, None)}
 
 
+def test_every_language_has_a_profile(spark):
+    rng = np.random.default_rng(0)
+    speech = {f"l{i:02d}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(100 - i)) for i in range(70)}
+    profiles = langid.train(spark.createDataFrame([(t, lang) for lang, t in speech.items()], "text string, lang string"))
+    assert profiles.languages == sorted(speech)
+    rows = spark.createDataFrame([(i, speech[f"l{i:02d}"], None, None) for i in (0, 63, 64, 69)], "id long, text string, host string, declared string")
+    assert {r["id"]: (r["lang"], r["accepted"]) for r in langid.identify(rows, profiles).collect()} == {i: (f"l{i:02d}", True) for i in (0, 63, 64, 69)}
+
+
 def test_trigrams_of_short_and_long_rows():
     buf = np.frombuffer(b"abab", np.uint8)
     rows, _ = langid._trigrams(buf, np.array([0, 2, 2, 4]))
