@@ -187,7 +187,8 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, most: i
     A result is linked to the first call (by turn and part) of its conversation and identifier, and has that
     call's turn as linked_turn; a call has its first result's. status is ok; for calls a breach of the schema
     (any tool is allowed without schemas), no id, or unanswered; for results no call; for parts that wait for
-    each other, or in a chain of more than `most` parts, cycle. slot is the turn a part can stand in: its own, or that of what it waits for, if later;
+    each other, or for such parts, cycle (in their own turn, level 0). `most` is taken from callers and bounds nothing:
+    there is a round for each part of the longest chain. slot is the turn a part can stand in: its own, or that of what it waits for, if later;
     level its place among parts of that slot. Null roles and texts are empty; null conv_id or turn never link
     and keep null. Repeated rows each return, and link alike. An empty table gives no rows; other columns are
     ignored.
@@ -207,24 +208,29 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, most: i
     waits = keyed.where("kind = 'call'").select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct()
     calls = first.where("c is not null").select("fc", "fi", F.lit("call").alias("kind"), F.col("c.turn").alias("own"))
     results = first.where("r is not null").select("fc", "fi", F.lit("result").alias("kind"), F.col("r.turn").alias("own"))
-    nodes = stages.put(calls.unionByName(results).select("*", F.col("own").alias("slot"), F.lit(0).alias("level"), F.lit(-1).alias("last")), "nodes")
+    nodes = stages.put(calls.unionByName(results).select("*", F.col("own").alias("slot"), F.lit(0).alias("level"), F.lit(-1).alias("last")), "nodes")  # last: the round a place was found in
     edges = (first.where("c is not null and r is not null").select(F.col("fc").alias("ec"), F.col("fi").alias("ei"), F.lit("result").alias("ek"), F.col("fi").alias("bi"), F.lit("call").alias("bk"))
              .unionByName(waits.select(F.col("conv_id").alias("ec"), F.col("call_id").alias("ei"), F.lit("call").alias("ek"), F.col("ref").alias("bi"), F.lit("result").alias("bk"))))
     edges = stages.put(edges, "edges")
-    moved = 0
-    for turn in range(most if not edges.isEmpty() else 0):
-        before = nodes.select(F.col("fc").alias("c2"), F.col("fi").alias("i2"), F.col("kind").alias("k2"), F.col("slot").alias("s2"), F.col("level").alias("l2"))
+    # a round places what waits for nothing, or for placed nodes only; what no round places waits for a cycle
+    turn = 0
+    while True:
+        before = nodes.select(F.col("fc").alias("c2"), F.col("fi").alias("i2"), F.col("kind").alias("k2"), F.col("slot").alias("s2"), F.col("level").alias("l2"), (F.col("last") < 0).alias("o2"))
         need = (edges.join(before, (F.col("ec") == F.col("c2")) & (F.col("bi") == F.col("i2")) & (F.col("bk") == F.col("k2")))
-                .groupBy("ec", "ei", "ek").agg(F.max(F.struct(F.col("s2").alias("s"), (F.col("l2") + 1).alias("l"))).alias("need")))
+                .groupBy("ec", "ei", "ek").agg(F.max(F.struct(F.col("s2").alias("s"), (F.col("l2") + 1).alias("l"))).alias("need"), F.max("o2").alias("open")))
+        own = F.struct(F.col("own").alias("s"), F.lit(0).alias("l"))
         after = (nodes.join(need, (F.col("fc") == F.col("ec")) & (F.col("fi") == F.col("ei")) & (F.col("kind") == F.col("ek")), "left")
-                 .withColumn("at", F.greatest(F.struct(F.col("own").alias("s"), F.lit(0).alias("l")), F.coalesce("need", F.struct(F.col("own").alias("s"), F.lit(0).alias("l"))))))
-        now = (F.col("at.s") != F.col("slot")) | (F.col("at.l") != F.col("level"))
-        nodes = stages.put(after.select("fc", "fi", "kind", "own", F.col("at.s").alias("slot"), F.col("at.l").alias("level"), F.when(now, turn).otherwise(F.col("last")).alias("last")), "nodes")
-        moved = nodes.where(F.col("last") == turn).count()
-        if not moved:
+                 .withColumn("at", F.greatest(own, F.coalesce("need", own))))
+        now = (F.col("last") < 0) & ~F.coalesce("open", F.lit(False))
+        after = stages.put(after.select("fc", "fi", "kind", "own", F.when(now, F.col("at.s")).otherwise(F.col("slot")).alias("slot"), F.when(now, F.col("at.l")).otherwise(F.col("level")).alias("level"),
+                                        F.when(now, turn).otherwise(F.col("last")).alias("last")), "nodes")
+        stages.drop(nodes)
+        nodes = after
+        left = nodes.agg(F.sum((F.col("last") == turn).cast("long")), F.sum((F.col("last") < 0).cast("long"))).first()
+        if not left[0] or not left[1]:
             break
-    # what still moves, or did in the later half of the rounds, waits for itself or for what does
-    cycle = F.col("last") >= most // 2 if moved else F.lit(False)
+        turn += 1
+    cycle = F.col("last") < 0
     at = stages.put(nodes.select(F.col("fc").alias("nc"), F.col("fi").alias("ni"), F.col("kind").alias("nk"), "slot", "level", cycle.alias("cycle")), "places")
     linked = (tools.join(first, (key(tools["conv_id"], tools["call_id"]) == key(first["fc"], first["fi"])) & (F.col("conv_id") == F.col("fc")) & (F.col("call_id") == F.col("fi")), "left")
               .join(at, (F.col("conv_id") == F.col("nc")) & (F.col("call_id") == F.col("ni")) & (F.col("kind") == F.col("nk")), "left"))

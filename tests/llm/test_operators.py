@@ -561,3 +561,14 @@ def test_tool_calls(spark):
     assert toolcalls.link(df.limit(0)).count() == 0
     assert toolcalls.canonical({"b": [1.50, 2.0], "a": "é"}) == '{"a":"é","b":[1.5,2]}'
     assert toolcalls.violation({"n": [1, "x"]}, {"properties": {"n": {"items": {"type": "integer"}}}}) == "$.n[1]: not integer"
+
+
+def test_a_cycle_leaves_other_chains_alone(spark):
+    call = lambda i, ref: {"id": i, "function": {"name": "f", "arguments": {"a": {"$ref": ref}} if ref else {}}}
+    deep = [call(f"c{i}", f"c{i - 1}" if i else None) for i in range(9)]
+    turns = [(1, 0, "assistant", json.dumps({"tool_calls": deep}))] + [(1, 1, "tool", "".join(f'<tool_response>{{"id": "c{i}"}}</tool_response>' for i in range(9)))]
+    turns += [(2, 0, "assistant", json.dumps({"tool_calls": [call("a", "b"), call("b", "a"), call("d", "a")]}))] + [(2, i, "tool", json.dumps({"tool_call_id": k})) for i, k in ((1, "a"), (2, "b"), (3, "d"))]
+    out = toolcalls.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), None, 8).collect()
+    assert {r["status"] for r in out if r["conv_id"] == 1} == {"ok"} and {r["status"] for r in out if r["conv_id"] == 2} == {"cycle"}
+    places = {(r["kind"], r["call_id"]): (r["slot"], r["level"]) for r in out if r["conv_id"] == 1}
+    assert places["call", "c0"] == (0, 0) and all(places["result", f"c{i}"] == (1, 2 * i) for i in range(9)) and all(places["call", f"c{i}"] == (1, 2 * i - 1) for i in range(1, 9))
