@@ -77,7 +77,8 @@ def _letters(value: Column, stream: Column, hexadecimal: Column) -> Column:
         out = F.when(hexadecimal & c.rlike("[a-f]"), _pick("abcdef", n)).when(hexadecimal & c.rlike("[A-F]"), _pick("ABCDEF", n))
         for alphabet, kind in ALPHABETS:
             out = out.when(c.rlike(kind), _pick(alphabet, n))
-        return out.otherwise(c)
+        # letters and digits of no alphabet here
+        return out.when(c.rlike(r"\p{Lu}"), _pick(ALPHABETS[1][0], n)).when(c.rlike(r"\p{L}"), _pick(ALPHABETS[0][0], n)).when(c.rlike(r"\p{N}"), _pick(ALPHABETS[2][0], n)).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), draw), "")
 
@@ -130,8 +131,10 @@ def surrogate(key: str) -> Column:
     name = None
     for script, first, more in (("C", CYRILLIC, CYRILLIC_MORE), ("L", LATIN, LATIN_MORE)):
         for gender in "MFS":
-            made = F.concat(_pick(first, _byte(stream, 0)), _pick(more, _byte(stream, 1)), F.when(_byte(stream, 2) % 2 == 0, _pick(more, _byte(stream, 3))).otherwise(F.lit("")), _pick(ENDINGS[script, gender], _byte(stream, 4)))
-            test = (kind == f"NAME_{gender}") & value.rlike(r"^\p{IsCyrillic}" if script == "C" else r"^\p{IsLatin}")
+            # a syllable more for each attempt, so that the space grows with the collisions
+            longer = F.when(F.col("attempt") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("attempt", F.lit(1))), lambda i: _pick(more, _byte(stream, i + 4))), "")).otherwise(F.lit(""))
+            made = F.concat(_pick(first, _byte(stream, 0)), _pick(more, _byte(stream, 1)), F.when(_byte(stream, 2) % 2 == 0, _pick(more, _byte(stream, 3))).otherwise(F.lit("")), longer, _pick(ENDINGS[script, gender], _byte(stream, 4)))
+            test = (kind == f"NAME_{gender}") & value.rlike(r"^\p{IsCyrillic}" if script == "C" else r"^[^\p{IsCyrillic}\p{IsGreek}]")
             name = F.when(test, made) if name is None else name.when(test, made)
     return (name.when(kind == "EMAIL", F.concat(_letters(local, stream, F.lit(False)), F.lit("@"), host))
             .when(kind == "SECRET", F.concat(prefix, _letters(rest, stream, value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"))))

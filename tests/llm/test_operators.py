@@ -529,6 +529,14 @@ def test_surrogates_stay_distinct(spark):
     assert done.surrogate.is_unique and not set(done.surrogate) & set("0123")
 
 
+def test_names_outgrow_their_syllables(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LATIN", ("Al",))
+    monkeypatch.setattr(pii, "LATIN_MORE", ("ba", "ca"))  # 30 surnames without more syllables
+    values = [f"Name{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(40)] + ["Սարգսյան"]  # the last of a script without an alphabet
+    done = pii.assign(spark.createDataFrame([("NAME_S", v) for v in values] + [("EMAIL", "անի@x.org")], "kind string, value string"), "k", common.Stages(spark, "t")).toPandas()
+    assert len(done) == 42 and done.surrogate.is_unique and not set(done.surrogate) & set(done.value)
+
+
 def test_surrogate_edges(spark):
     assert pii.pseudonymise(table(spark, edge_rows())).count() == len(edge_rows())
     assert pii.pseudonymise(table(spark, edge_rows()).limit(0)).count() == 0
