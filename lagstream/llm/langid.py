@@ -205,7 +205,7 @@ def identify(rows: DataFrame, profiles: Profiles, markup: bool = False) -> DataF
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, text, host, declared) of pages; a page without an address or lang attribute has null there."""
     host = F.regexp_replace(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), r"^www\.|\.$", "")
-    declared = F.lower(F.regexp_extract(F.substring(F.col(html_col), 1, 4096), _DECLARED, 1))
+    declared = F.lower(F.regexp_extract(F.col(html_col), _DECLARED, 1))
     blank = lambda c: F.when(c != "", c)
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("text"), blank(host).alias("host"), blank(declared).alias("declared"))
 

@@ -351,6 +351,11 @@ def test_language_fusion(spark):
     assert r == {1: ("example.com", "fr"), 2: (None, None)}
 
 
+def test_declared_language_after_a_long_comment(spark):
+    pages = spark.createDataFrame([(1, None, f"<!--{'x ' * 5000}--><html class=a lang=fr><p>le"), (2, None, f"<html data-a='{'x' * 9000}' lang='de'>")], "page_id long, url string, html string")
+    assert {r["id"]: r["declared"] for r in langid.page_rows(pages).collect()} == {1: "fr", 2: "de"}
+
+
 def test_every_language_has_a_profile(spark):
     rng = np.random.default_rng(0)
     speech = {f"l{i:02d}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(100 - i)) for i in range(70)}
