@@ -408,25 +408,73 @@ HTML = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 <!-- <p>comment</p> --><div class="comments"><p>reader</p></div><p>last</p></main><aside>side</aside><footer>foot</footer></body></html>"""
 
 
-def test_page_text():
-    assert styletree.Page(HTML).text(frozenset()).split("\n") == ["Head&line", "One bold éé line two", "Second link", "item", "other", "c1", "c2", "last"]
-    assert styletree.Page("plain < text &lt; here").text(frozenset()) == "plain < text < here"
-    assert styletree.Page("<div>a<p>b</div>c<script>x").text(frozenset()).split("\n") == ["a", "b", "c"]
+def test_page_text(spark):
+    want = ["Head&line", "One bold éé line two", "Second link", "item", "other", "c1", "c2", "last"]
+    html = spark.createDataFrame([(1, "http://a/1", HTML)], "page_id long, url string, html string")
+    assert styletree.extract(html).first()["text"].split("\n") == want  # one page alone: what markup suggests
+    text = lambda x: styletree.Page(x).text()
+    assert text("plain < text &lt; here") == "plain < text < here"
+    assert text("<div>a<p>b</div>c<script>x").split("\n") == ["a", "b", "c"]
+    assert text("<nav>n</nav><button>press</button><p hidden>h</p><canvas>c</canvas>").split("\n") == ["press", "h", "c"]
     for broken in ("", "<", "</", "<p", '<p class="', "<!--", "<![CDATA[x]]>", "</div></p>", "<p>" * 3000, '<a b="' * 50):
-        styletree.Page(broken).text(frozenset())
+        text(broken)
+    for deep in ("<div>" * 50_000 + "x", "<blockquote>" * 50_000 + "</section>" * 50_000 + "x", "<b>" * 50_000 + "<li>" * 2000 + "x"):
+        assert text(deep) == "x"
+
+
+def test_names_alone_remove_no_article(spark):
+    pages = [(1, '<body class="no-footer"><div class="layout has-sidebar"><article><p>the text itself</p></article><div class="sidebar">links</div></div>'),
+             (2, '<div id="content" class="no-header"><h1>A title</h1><p>and all of the text</p></div><div class="ads">buy</div>')]
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in pages], "page_id long, url string, html string")
+    assert {r["id"]: r["text"] for r in styletree.extract(df).collect()} == {1: "the text itself", 2: "A title\nand all of the text"}
 
 
 def test_site_style_tree(spark):
     page = lambda i, host, body: (i, f"http://{host}/{i}", f"<html><body><div class=box>Always the same line</div><div class=txt>{body}</div></body></html>")
     pages = [page(i, "a.com", f"text number {i}") for i in range(12)] + [page(100 + i, "b.com", "copy") for i in range(12)] + [(200, None, None), (201, "x", "")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("paths", F.lit("clash")).withColumn("host", F.lit("clash"))
+    # an unnamed slot of changing content, told from the text by its presentations and its share only
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    pages += [(300 + i, f"http://c.com/{i}", f"<div class=x><ul><li>{words(1)}<li>{words(1)}</ul></div><div class=y>{''.join(f'<p>{words(60)}</p>' for _ in range(1 + i % 5))}</div>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("slots", F.lit("clash")).withColumn("host", F.lit("clash"))
     got = {r["id"]: r["text"] for r in styletree.extract(df).collect()}
     assert got[3] == "text number 3"  # the repeated branch is gone
     assert got[105] == "Always the same line\ncopy"  # copies of one page are no evidence
+    assert all(got[300 + i].count("\n") == i % 5 and got[300 + i].count(" ") == 59 * (1 + i % 5) for i in range(20))
     assert got[200] == "" and got[201] == "" and len(got) == len(pages)
     assert styletree.extract(df.limit(0)).count() == 0
 
 
+def test_importance_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    pages = []
+    for i in range(30):
+        paragraphs = "".join(f"<p>{rng.choice(['same', 'other', f'own {i}'])} text</p>" for _ in range(int(rng.integers(1, 4))))
+        pages.append((("one", "two")[i % 2], f"<body><div>{paragraphs}</div><section><h2>head</h2></section></body>"))
+    pages += pages[:5]
+    got = styletree.importance(styletree.site_nodes(spark.createDataFrame(pages, "host string, html string"))).toPandas()
+    for host in ("one", "two"):
+        seen = {html: styletree.Page(html) for h, html in pages if h == host}
+        paths = {x for p in seen.values() for x in p.path}
+        for path in paths:
+            on = [p for p in seen.values() if path in p.path]
+            m, shown, texts = len(on), {}, {}
+            for k, p in enumerate(on):
+                style = tuple(p.style[n] for n in range(len(p.path)) if p.path[n] == path)
+                shown[style] = shown.get(style, 0) + 1
+                for text in {t for n, t in p.blocks if p.path[n] == path}:
+                    texts[text] = texts.get(text, 0) + 1
+            entropy = -sum(c / m * math.log(c / m) for c in shown.values()) / math.log(m)
+            row = got[(got.host == host) & (got.path == styletree._signed(path))].iloc[0]
+            assert row.pages == m and abs(row["style"] - entropy) < 1e-9
+            if texts:
+                assert abs(row["content"] - (1 - np.mean([math.log(c) / math.log(m) for c in texts.values()]))) < 1e-9
+            else:
+                assert math.isnan(row["content"])
+            share = sum(p.words[n] for p in on for n in range(len(p.path)) if p.path[n] == path) / sum(p.words[0] for p in on)
+            assert abs(row["share"] - share) < 1e-9
+
+
 # --- 6
 
 
