@@ -15,11 +15,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none, a local one (tests)."""
+    """The folder of spark.checkpoint.dir; a local session that names none gets one of its own (tests), a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="stages-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -29,26 +31,39 @@ class Stages:
     """Tables written once in the shared folder, so that a lost executor costs no lineage.
 
     put() writes a DataFrame and returns it reread; drop() deletes the tables that no later
-    plan reads (a returned DataFrame is lazy, so what it reads must stay).
+    plan reads; finish() deletes all but those that a returned DataFrame, which is lazy, reads.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
+        self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         return out
 
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.live.discard(where)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._staged)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._staged)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """result, after the staged tables that it does not read are deleted."""
+        plan = result._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read = " ".join(str(plan.apply(i).relation().location().rootPaths()) for i in range(plan.size()) if hasattr(plan.apply(i), "relation") and plan.apply(i).getClass().getSimpleName() == "LogicalRelation")
+        for path in [p for p in self.live if p.rsplit("/", 2)[1] + "/" + p.rsplit("/", 1)[1] not in read]:
+            self._delete(path)
+        return result
 
 
 def min_neighbours(both: DataFrame) -> DataFrame:

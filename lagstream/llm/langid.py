@@ -196,10 +196,11 @@ def identify(rows: DataFrame, profiles: Profiles, markup: bool = False) -> DataF
     log_prior = F.transform(_prior(others, F.col("base"), HOST_WEIGHT), lambda p: F.log(p))
     post = F.zip_with(F.zip_with("ll", log_prior, lambda a, b: a + b), "labels", lambda a, b: a + b)
     top = F.array_max("fused")
-    return (joined.withColumn("fused", post)
-            .select("id", "host", "declared", F.element_at(F.array(*map(F.lit, names)), F.array_position("fused", top).cast("int")).alias("lang"),
+    fused = joined.withColumn("fused", post)
+    return stages.finish(
+        fused.select("id", "host", "declared", F.element_at(F.array(*map(F.lit, names)), F.array_position("fused", top).cast("int")).alias("lang"),
                     (F.lit(1.0) / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("posterior"), "trigrams", "fits")
-            .withColumnRenamed("fits", "accepted"))
+        .withColumnRenamed("fits", "accepted"))
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

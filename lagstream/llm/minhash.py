@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     if not found.isEmpty():
         parts = stages.put(components(links.unionByName(found), stages), "components")
     final = relabel(members.select("id", "n_shingles", "rep"), "rep", parts, "component_id")
-    return final.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return stages.finish(final.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -121,9 +121,10 @@ def mix(docs: DataFrame, curriculum: Sequence[Knots] = CURRICULUM, share: float
         lambda p: F.struct(p.alias("copy"),
                            F.greatest(F.lit(0), F.least(F.col("size"), goal - (p * F.col("source_size") + at))).alias("words"),
                            F.round(progress((p * F.col("source_size") + at) / goal, F.col("schedule"), curriculum), 9).alias("position")))
-    return (placed.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
-            .select(F.col("id").alias(id_col), *(F.col(f"c_{c}").alias(c) for c in carry), "size", "source_size", "target",
-                    F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"), "copies"))
+    return stages.finish(
+        placed.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
+        .select(F.col("id").alias(id_col), *(F.col(f"c_{c}").alias(c) for c in carry), "size", "source_size", "target",
+                F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"), "copies"))
 
 
 def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

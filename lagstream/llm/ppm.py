@@ -370,7 +370,7 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10, head_words: int
     rare = (words.where(_level(F.col("n")) < least).select(F.lit(0).alias("rk"), F.col("code").alias("rh"), F.col("n").cast("double").alias("c"))
             .unionByName(grams.where(_level(F.col("n")) < least_gram).select(F.lit(1).alias("rk"), F.col("code").alias("rh"), F.col("p").alias("c"))))
     c, word = F.coalesce(F.col("c"), F.lit(0.0)), F.col("kind") == 0
-    return (
+    return stages.finish(
         parts.join(rare, (F.col("h") == F.col("rh")) & (F.col("kind") == F.col("rk")), "left").groupBy("rid")
         .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
              (F.max("known") + F.sum(F.when(word & (c > 0), F.col("times")).otherwise(F.lit(0)))).alias("n_known"),

@@ -336,7 +336,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             if text:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], schema=schema)
 
-    return rows.mapInArrow(scan, "id long, url string, text string, n_chars long")
+    return stages.finish(rows.mapInArrow(scan, "id long, url string, text string, n_chars long"))
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
