@@ -8,8 +8,9 @@ stepping from unsampled to sampled suffixes; hits are merged to removal spans of
 Words outside the phrases' vocabulary cannot be part of an occurrence, nor can runs of vocabulary words
 shorter than the shortest phrase; both become one separator before the index is built.
 
-The phrases come to the driver only as long as their table is at most BLOCK words; a larger benchmark is
-taken in blocks of items, each a pass over the texts.
+The benchmark passes through the driver in blocks of items of about BLOCK words, one block in memory at a time. Each
+is a broadcast of its own, which is kept on disk; a task with more than one reads them in turn for each batch of
+texts, so its memory holds one block. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from lagstream.llm import bytetext as bt
 from lagstream.llm.common import read_table
 
-#: Words of benchmark text whose phrases are broadcast at once (about 100 bytes each in a worker).
+#: Words of benchmark text in one block of phrases (about 100 bytes each in a worker).
 BLOCK = 400_000
 #: Symbols of one index; longer texts are indexed in overlapping slices.
 SHARD = 1 << 20
@@ -253,7 +254,7 @@ def blocks(benchmark: DataFrame, k: int, id_col: str, text_col: str, most: int =
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", clean: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", clean: bool = False, carry: Sequence[str] = (), most: int = BLOCK) -> DataFrame:
     """Benchmark passages in documents: a row (id, n_words, n_hit, items, spans) for each document.
 
     Words are runs of ASCII letters, digits and all beyond ASCII after A-Z are lower-cased. A window is k
@@ -261,13 +262,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: st
     word inside any occurrence of a window is hit. items are the ids with occurring windows, sorted as
     strings; spans the merged byte ranges [start, end) of hit words. clean adds clean_text, without
     those spans, cut again until no window remains; null texts stay null. carry names further columns to keep. Null and empty texts have no
-    words. Repeated rows each return; empty tables give no rows or no hits; other columns are ignored.
+    words. Repeated rows each return; empty tables give no rows or no hits; other columns are ignored. most is the
+    words of a block of phrases, which changes no result.
     """
     names = ["id", "n_words", "n_hit", "items", "spans"] + ["clean_text"] * clean
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names += [f"c_{c}" for c in carry]
-    all_blocks = list(blocks(benchmark, k, item_col, item_text))  # of bounded size each; more than one only beyond BLOCK words
-    handles = [docs.sparkSession.sparkContext.broadcast(b) for b in all_blocks]
+    context = docs.sparkSession.sparkContext
+    handles = [context.broadcast(b) for b in blocks(benchmark, k, item_col, item_text, most)]  # the driver holds one block at a time
+
+    def each() -> Iterator[Phrases]:
+        """The blocks in turn; only a single one stays in memory."""
+        for handle in handles:
+            yield handle.value
+            if len(handles) > 1:
+                del handle._value
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,8 +288,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: st
                 starts, ends, rows = bt.word_spans(part, at, bt.ALNUM)
                 words = bt.hash_words(part, starts, ends)
                 hit, owners = np.zeros(len(words), bool), [set() for _ in range(hi - lo)]
-                for handle in handles:
-                    more, found = handle.value.hits(words, rows)
+                for phrases in each():
+                    more, found = phrases.hits(words, rows)
                     hit |= more
                     for own, new in zip(owners, found):
                         own |= new
@@ -295,8 +304,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: st
                         value = None if not text[lo + r].is_valid else bytes(part[at[r]:at[r + 1]])
                         while count and value is not None:
                             before = value
-                            for handle in handles:
-                                value = _cut(value, handle.value)
+                            for phrases in each():
+                                value = _cut(value, phrases)
                             if value == before:
                                 break
                         cleaned.append(None if value is None else value.decode())
