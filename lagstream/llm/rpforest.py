@@ -7,7 +7,9 @@ in double precision. A pair that several leaves bring together is counted in the
 are counted in place and never listed; what leaves a leaf is a count for each vector and a spanning forest of
 its links. Leaves of more than BLOCK vectors are compared as pairs of blocks, by as many tasks.
 
-Equal vectors of one label are one class with a multiplicity before anything is compared.
+Equal usable vectors of one label are one class with a multiplicity before anything is compared. Vectors of different
+lengths are never compared: the length is part of the label, and where lengths differ, shorter ones are filled up
+with zeros, which changes no cosine.
 """
 
 from __future__ import annotations
@@ -27,33 +29,38 @@ TREES = 4
 #: Vectors that the trees are fitted on at most.
 SAMPLE = 20_000
 #: Vectors a leaf should have, and the rows of a block.
-LEAF, BLOCK = 192, 2048
+LEAF, BLOCK = 48, 2048
+#: Random directions of each tree and level, from which each node draws its own.
+DIRECTIONS = 8
 #: A node is a leaf where more than this share of its sample lies near the split: both children together would have
 #: more pairs than the node, 2 ((1 + share) / 2)^2 > 1.
 CROWDED = math.sqrt(2) - 1
 
 
 class Forest:
-    """Random directions for each tree and level, and thresholds for each node (medians of the sample; below
-    8 sample vectors, of the node above; not a number where the node is a leaf). The root is node 1, the children
-    of node i are 2 i and 2 i + 1."""
+    """A random direction for each node, of the DIRECTIONS of its tree and level, and thresholds for each node (medians
+    of the sample; below 8 sample vectors, its mean on that direction at the node above; not a number where the node
+    is a leaf). The root is node 1, the children of node i are 2 i and 2 i + 1."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, margin: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.depth, self.margin = depth, margin
-        self.directions = rng.standard_normal((trees, d, max(depth, 1)))
+        self.directions = rng.standard_normal((trees, d, max(depth, 1) * DIRECTIONS))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
         self.thresholds = []
         for t in range(trees):
             x = sample @ self.directions[t]
             node, cuts, above = np.zeros(len(x), np.int64), [], np.zeros(1)
             for level in range(depth):
-                cut = np.repeat(above, 2) if level else np.array([np.median(x[:, 0]) if len(x) else 0.0])
+                # a leaf stays one; below a node of few samples a split goes through the middle of all of them
+                column = self._column(np.arange(1 << level) + (1 << level), level)
+                middle = np.median(x, axis=0)[column] if len(x) else np.zeros(1 << level)
+                cut = np.where(np.isnan(np.repeat(above, 2)), math.nan, middle) if level else middle
                 order = np.argsort(node, kind="stable")
                 at = np.searchsorted(node[order], np.arange(len(cut) + 1))
                 for i in np.flatnonzero(np.diff(at) >= 8):
-                    own = x[order[at[i]:at[i + 1]], level]
+                    own = x[order[at[i]:at[i + 1]], column[i]]
                     cut[i] = np.median(own)
                     if (np.abs(own - cut[i]) < margin).mean() > CROWDED:
                         cut[i] = math.nan
@@ -61,15 +68,21 @@ class Forest:
                 above = cut
                 split = ~np.isnan(cut[node])
                 x, node = x[split], node[split]
-                node = node * 2 + (x[:, level] > cut[node])
+                node = node * 2 + (x[np.arange(len(x)), column[node]] > cut[node])
             self.thresholds.append(cuts)
 
+    @staticmethod
+    def _column(node: np.ndarray, level: int) -> np.ndarray:
+        """The direction that nodes of a level draw."""
+        mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        return (mixed % np.uint64(DIRECTIONS)).astype(np.int64) + level * DIRECTIONS
+
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf of unit vectors."""
         z = x @ self.directions[tree]
         row, node, ends = np.arange(len(x)), np.ones(len(x), np.int64), []
         for level in range(self.depth):
-            gap = z[row, level] - self.thresholds[tree][level][node - (1 << level)]
+            gap = z[row, self._column(node, level)] - self.thresholds[tree][level][node - (1 << level)]
             leaf = np.isnan(gap)
             ends.append((row[leaf], node[leaf]))
             row, node, gap = row[~leaf], node[~leaf] * 2 + (gap[~leaf] > 0), gap[~leaf]
@@ -84,29 +97,13 @@ def _place(tree: int, leaf: np.ndarray | int) -> np.ndarray | int:
     return leaf + (tree << 48)
 
 
-def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (rows x d) of a list column, and which rows are usable; d is the first usable row's length."""
-    n = len(batch)
-    lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    good = lengths > 0
-    flat = batch.flatten()
-    values = flat.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    rows = {d: np.flatnonzero(lengths == d) for d in np.unique(lengths[good])}
-    d = max(rows, key=lambda k: len(rows[k]), default=0)
-    x = np.zeros((n, d))
-    for k, r in rows.items():
-        if k == d:
-            x[r] = values[at[r][:, None] + np.arange(d)]
-        else:
-            good[r] = False
-    with np.errstate(all="ignore"):
-        top = np.abs(x).max(1) if d else np.zeros(n)
-        good &= np.isfinite(x).all(1) & (top > 0)
-        x[~good] = 0
-        x = x / np.where(good, top, 1)[:, None]
-        x /= np.where(good, np.sqrt((x * x).sum(1)), 1)[:, None]
-    return x, good
+def _unit(batch: pa.Array, d: int) -> np.ndarray:
+    """Unit vectors (rows x d) of a list column of usable vectors; shorter ones are filled up with zeros."""
+    lengths = batch.value_lengths().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(batch), d))
+    x[np.arange(d) < lengths[:, None]] = batch.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x /= np.abs(x).max(1, keepdims=True, initial=0.0)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _meet(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -136,7 +133,8 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, tree: int, least: fl
     here = None if leaf is None else _place(tree, leaf)
 
     def arrays(part: pd.DataFrame):
-        x = np.array(part["x"].tolist(), np.float64)
+        x = np.array(part["x"].tolist(), np.float64)  # of one length, which the label tells
+        x /= np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1))[:, None]
         early = None if leaf is None else [p[p < here] for p in map(np.asarray, part["leaves"])]
         return part["id"].to_numpy(), part["mult"].to_numpy(), x, early
@@ -184,30 +182,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
     """Links of cosine >= least between vectors of one label: id, n_links, component_id, kept for each row.
 
     Compared in double precision, so no pair below least is linked; a pair at the threshold is missed where all
-    trees part it, by the spill margin about one in 10,000 pairs or fewer. Vectors that are null, empty, zero, of another length
-    than most, or hold null or non-finite components, and null labels, link with nothing. n_links counts other
-    rows; equal vectors count each other. component_id is the smallest id reachable; kept marks the row that has
-    it. An empty table gives no rows; other columns are ignored.
+    trees part it, by the spill margin about one in 10,000 pairs or fewer. Vectors that are null, empty, zero, or hold null
+    or non-finite components, null labels and null ids link with nothing; vectors of different lengths neither. n_links counts other
+    rows; equal vectors count each other, as do rows of one id, each with its own vector. component_id is the
+    smallest id reachable; kept marks rows that have it (and rows of null id, which have none). An empty
+    table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     stages = Stages(spark, "rpforest")
     single = vectors.schema[x_col].dataType.simpleString() == "array<float>"  # kept as they are; compared in double all the same
     number, arrow = ("float", pa.float32()) if single else ("double", pa.float64())
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(x_col).cast(f"array<{number}>").alias("x"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("x", lambda v: v != 0), F.lit(False))
+    source = source.withColumn("some", usable).withColumn("label", F.concat_ws(":", F.size("x"), "label"))
     # equal vectors of a label by their bytes; a class may have most rows, so its smallest id comes by a partial aggregate
-    keyed = source.withColumn("key", F.xxhash64("label", "x")).withColumn("key2", F.hash("x", "label"))
-    keyed = stages.put(keyed.select("id", "label", "key", "key2", F.col("label").isNotNull().alias("some")), "keys")
+    digests = F.xxhash64("label", "x").alias("key"), F.hash("x", "label").alias("key2")
+    keyed = stages.put(source.select("id", "label", *digests, "some"), "keys")
     classes = keyed.where("some").groupBy("label", "key", "key2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    classes = stages.put(classes, "classes")
-    reps = stages.put(source.join(classes.select(F.col("rep").alias("id"), "mult"), "id").dropDuplicates(["id"]), "reps")
+    # a class is a node with a number of its own: one id may have several vectors
+    classes = stages.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first = source.where("some").select("id", F.col("label").alias("label"), *digests, "x")
+    reps = first.join(classes.select(F.col("rep").alias("id"), "key", "key2", "mult", "node"), ["id", "key", "key2"]).dropDuplicates(["node"])
+    reps = stages.put(reps.select(F.col("node").alias("id"), "label", "mult", "x"), "reps")
     n = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    width = reps.agg(F.max(F.size("x"))).first()[0] or 0
     sample = reps.select("x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("x")
-    points, good = _unit(sample.combine_chunks() if sample.num_chunks else pa.array([], sample.type))
-    points = points[good]
+    points = _unit(sample.combine_chunks() if sample.num_chunks else pa.array([], sample.type), width)
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
-    margin = 0.8 * math.sqrt(2 * max(0.0, 1 - least) / max(1, points.shape[1]))
+    margin = 0.8 * math.sqrt(2 * max(0.0, 1 - least) / max(1, width))
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth, margin))
-    width = points.shape[1]
 
     schema = pa.schema([("label", pa.string()), ("leaf", pa.int64()), ("id", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(arrow)), ("leaves", pa.list_(pa.int64()))])
 
@@ -218,15 +222,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
-                    x, good = _unit(part.column("x"))
-                    if x.shape[1] != width or not width:
-                        continue
+                    x = _unit(part.column("x"), width)
                     found = [forest.value.leaves(x, t) for t in range(tree + 1)]
                     row, place = np.concatenate([r for r, _ in found]), np.concatenate([_place(t, leaf) for t, (_, leaf) in enumerate(found)])
                     by = np.lexsort((place, row))
                     places, at = place[by], np.searchsorted(row[by], np.arange(len(x) + 1))
                     row, leaf = found[tree]
-                    row, leaf = row[good[row]], leaf[good[row]]
                     for a in range(0, len(row), 20_000):
                         r = row[a:a + 20_000]
                         take, many = pa.array(r), at[r + 1] - at[r]
@@ -259,18 +260,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, id
         found = found.unionByName(in_tree(tree))
     parts = components(found.where("n = 0").select("a", "b"), stages)
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    # copies of a vector that is unusable (zero, not finite, of another length) are not linked
-    ends = F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
-    finite = ~F.exists(ends, lambda v: F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(ends, lambda v: v != 0)
-    usable = reps.where(F.col("x").isNotNull() & (F.size("x") == width) & finite).select(F.col("id").alias("rep"))
-    facts = (classes.join(usable, "rep").join(counts.select(F.col("a").alias("rep"), "n"), "rep", "left")
-             .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-             .select(F.col("label").alias("l"), F.col("key").alias("k"), F.col("key2").alias("k2"),
-                     (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
-    facts = stages.put(facts, "facts")
-    out = keyed.join(facts, (F.xxhash64("key") == F.xxhash64("k")) & (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")), "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    nodes = (classes.join(counts.select(F.col("a").alias("node"), "n"), "node", "left").join(parts, "node", "left")
+             .select("*", F.coalesce("component", "node").alias("group")))
+    least_id = nodes.groupBy(F.col("group").alias("g")).agg(F.min("rep").alias("component_id"))
+    facts = nodes.join(least_id, F.xxhash64("group") == F.xxhash64("g")).where("group = g")
+    facts = stages.put(facts.select(F.col("label").alias("l"), F.col("key").alias("k"), F.col("key2").alias("k2"),
+                                    (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id"), "facts")
+    out = keyed.join(facts, F.col("some") & (F.xxhash64("key") == F.xxhash64("k")) & (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")), "left")
+    component = F.coalesce("component_id", "id")
+    return stages.finish(out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
