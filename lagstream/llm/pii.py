@@ -6,7 +6,8 @@ digits, letters of the same script and case, names by the gender of their title,
 numbers with the validity of their checks. Surrogates are checked against each other and against every entity
 found; those that collide are drawn again, until all are distinct.
 
-Only documents with entities are shuffled, and their entities, which are distinct by document first.
+The patterns pass over each text once: a scan writes the rows with their matches, and what follows reads those. Only
+documents with entities are shuffled, and their entities, which are distinct by document first.
 """
 
 from __future__ import annotations
@@ -178,8 +179,8 @@ def assign(entities: DataFrame, key: str, stages: Stages, most: int = 40) -> Dat
     raise RuntimeError("surrogates still collide")
 
 
-def pseudonymise(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col and pii, the count of replaced mentions.
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with surrogates in text_col and pii, the count of replaced mentions. key is the caller's secret.
 
     All other columns stay as they are (a column named pii is replaced; names that start with _pii are
     reserved). Null texts stay null, with 0. A mention of a name's part alone takes the surrogate of the titled
@@ -189,10 +190,11 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc
     stages = Stages(docs.sparkSession, "pii")
     columns = [c for c in docs.columns if c != "pii"]
     # one digest of the id and the text names a row's content; equal rows share their entities
-    rows = docs.select(*columns, F.xxhash64(F.col(id_col).cast("string"), text_col).alias("_pii_row"))
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(_HINT) & text.rlike(ANY), F.lit(False))
-    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    matched = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    rows = stages.put(docs.select(*columns, F.xxhash64(F.col(id_col).cast("string"), text_col).alias("_pii_row"), matched.alias("_pii_matches")), "rows")
+    matches = F.col("_pii_matches")
+    has = F.coalesce(F.size(matches) > 0, F.lit(False))
     found = rows.where(has).select("_pii_row", F.explode(F.array_distinct(matches)).alias("match")).withColumn("kind", _kind(F.col("match")))
     parts = F.when(F.col("kind") == "NAME", _name_parts(F.col("match"))).otherwise(F.array(F.struct("kind", F.col("match").alias("value"))))
     found = stages.put(found.select("_pii_row", F.explode(parts).alias("e")).select("_pii_row", "e.kind", "e.value").distinct(), "found")
@@ -211,15 +213,20 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc
         return F.when(kind == "NAME", name).otherwise(F.element_at(given, F.concat(kind, F.lit(":"), m)))
 
     def coreferent(piece: Column) -> Column:
-        return F.aggregate("_pii_names", piece, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["value"], F.lit(r"\E(?![\p{L}\p{N}])")), n["surrogate"]))
+        alone = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["value"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.aggregate("_pii_names", piece, lambda t, n: F.when(t.contains(n["value"]), F.regexp_replace(t, alone(n), n["surrogate"])).otherwise(t))
 
     pieces = F.split(text, ANY, -1)
     swapped = F.concat(F.array_join(F.zip_with(F.transform(pieces, coreferent), F.transform(matches, instead), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
     done = (rows.where(has).join(maps, F.col("_pii_row") == F.col("_pii_key"))
             .select(*(swapped.alias(c) if c == text_col else F.col(c) for c in columns), F.size(matches).alias("pii")))
-    return rows.where(~has).select(*columns, F.lit(0).alias("pii")).unionByName(done)
+    return stages.finish(rows.where(~has).select(*columns, F.lit(0).alias("pii")).unionByName(done))
+
+
+#: The key of the registered queries, which anyone can read: who keeps data apart passes a secret of their own.
+QUERY_KEY = "query"
 
 
 def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """Whole `documents`: doc_id, text with surrogates, pii (mentions replaced)."""
-    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("pii", F.col("pii").cast("long"))
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY).withColumn("pii", F.col("pii").cast("long"))

@@ -531,6 +531,16 @@ def test_forest_keeps_links_of_a_dense_cluster(spark, monkeypatch):
     assert sum(have.values()) >= 0.995 * want.sum()
 
 
+def test_vectors_of_any_make(spark):
+    rows = [(1, [1.0, None, 0.5], 0), (2, [1.0, 0.5], 0), (3, [1.0, 0.5], 0), (4, [2.0, 1.0], 0), (5, [1.0, 0.5, 0.0], 0), (6, [2.0, 1.0, 0.0], 0), (7, [0.0, 1.0, 0.0], 0), (7, [1.0, 0.5], 0), (None, [1.0, 0.5], 0),
+            (8, [math.inf, 1.0], 0), (9, [1e200, 5e199], 0)]
+    got = {}
+    for r in rpforest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r["id"], []).append((r["n_links"], r["component_id"], r["kept"]))
+    assert got == {1: [(0, 1, True)], 2: [(4, 2, True)], 3: [(4, 2, False)], 4: [(4, 2, False)], 9: [(4, 2, False)], 5: [(1, 5, True)], 6: [(1, 5, False)], 7: got[7], None: [(0, None, True)], 8: [(0, 8, True)]}
+    assert sorted(got[7]) == [(0, 7, True), (4, 2, False)]  # one id with two vectors
+
+
 def test_blocks_of_a_large_leaf_count_once():
     rng = np.random.default_rng(0)
     import pandas as pd
@@ -552,7 +562,7 @@ def test_surrogates(spark):
     rows = [(1, "Mr. John Smith wrote to Mrs. Anna Smith. Smith and John agreed; a.b@corp.example.org, c@corp.example.org.", "en", "a"), (2, "a.b@corp.example.org +49 (030) 555-1234 10.1.2.3 4111111111111111", "en", "a"),
             (3, "Господин Иванов; DE89370400440532013000; 123-45-6789; token f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "ru", "b"), (4, None, "en", "a"), (5, "nothing to see", "en", "a"), (2, "a.b@corp.example.org +49 (030) 555-1234 10.1.2.3 4111111111111111", "en", "a")]
     df = table(spark, rows)
-    got = pii.pseudonymise(df).orderBy("doc_id").collect()
+    got = pii.pseudonymise(df, "key").orderBy("doc_id").collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 6 and by[4]["text"] is None and by[5]["text"] == "nothing to see" and by[5]["pii"] == 0 and by[1]["key"] == "k"
     assert not any(x in (r["text"] or "") for r in got for x in ("Smith", "John", "Anna", "corp", "10.1.2.3", "4111", "Иванов", "532013", "6789", "f3ef4d"))
@@ -591,8 +601,8 @@ def test_names_outgrow_their_syllables(spark, monkeypatch):
 
 
 def test_surrogate_edges(spark):
-    assert pii.pseudonymise(table(spark, edge_rows())).count() == len(edge_rows())
-    assert pii.pseudonymise(table(spark, edge_rows()).limit(0)).count() == 0
+    assert pii.pseudonymise(table(spark, edge_rows()), "key").count() == len(edge_rows())
+    assert pii.pseudonymise(table(spark, edge_rows()).limit(0), "key").count() == 0
 
 
 # --- 5
