@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    done = pii.pseudonymise(docs)
+    done = pii.pseudonymise(docs, pii.QUERY_KEY)
     return done.select("doc_id", "text", "lang", "source", F.when(F.col("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
