@@ -7,6 +7,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_pii_surrogates": "pii",
     "op5_tool_calls": "toolcalls",
+    "tool_calls_derived": "toolcalls",
     "op6_embedding_dedup": "rpforest",
     "op10_html_extraction": "styletree",
     "op7_language_id": "langid",
@@ -25,7 +26,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, module in _QUERIES.items():
-        sql = getattr(import_module(f"lagstream.llm.{module}"), f"{name.split('_')[0].upper()}_SQL", None)
+        short = name.split("_")[0] if name.startswith("op") else name
+        sql = getattr(import_module(f"lagstream.llm.{module}"), f"{short.upper()}_SQL", None)
         if sql:
             found[name] = sql
     return found

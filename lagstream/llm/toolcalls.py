@@ -1,7 +1,8 @@
 """Operator 5, chat formatting: links tool calls to their results and writes canonical JSON.
 
-Messages are parsed to parts: plain messages, calls and results. Results are hash-joined to calls by
-conversation and identifier; calls that refer to other calls' results ({"$ref": id} in their arguments) wait
+Messages are parsed to parts: plain messages, calls, results, and the tools that a system message declares. Results
+are hash-joined to calls by conversation and identifier, and calls to their tools' schemas by conversation and
+name, against which their arguments are validated; calls that refer to other calls' results ({"$ref": id} in their arguments) wait
 for them. Places are found by rounds of joins over tool parts only, so neither a long conversation nor one that
 holds most rows meets in a task. Output is a row for each part, in an order given by its columns.
 """
@@ -14,11 +15,12 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstream.llm.common import Stages, read_table
 
+_TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _RESULT = re.compile(r"<tool_response>(.*?)</tool_response>", re.S)
 
@@ -100,9 +102,10 @@ def _loads(text: str):
         return None
 
 
-def parse(role: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> list[dict]:
+def parse(role: str | None, text: str | None) -> list[dict]:
     """Parts of a message. Calls: a JSON text {"tool_calls": [...]} or <tool_call> blocks of an assistant; results:
-    a JSON text with tool_call_id, or <tool_response> blocks, of a tool. All else is one plain message."""
+    a JSON text with tool_call_id, or <tool_response> blocks, of a tool. All else is one plain message, followed
+    by a part for each tool that a <tools> list in a system message declares (json: its schema of arguments)."""
     role, text = role or "", text or ""
     out: list[dict] = []
 
@@ -112,15 +115,11 @@ def parse(role: str | None, text: str | None, schemas: Mapping[str, Mapping]) ->
         if isinstance(arguments, str):
             arguments = _loads(arguments)
         name = spec.get("name") if isinstance(spec, dict) else None
-        schema = schemas.get(name) if isinstance(name, str) else None
+        error = None
         if not isinstance(name, str):
             error = "no name"
         elif not isinstance(arguments, dict):
             error, arguments = "arguments are no object", {}
-        elif schemas and schema is None:
-            error = "unknown tool"
-        else:
-            error = violation(arguments, schema) if schema else None
         key = item.get("id") if isinstance(item, dict) else None
         arguments = arguments if isinstance(arguments, dict) else {}
         out.append({"kind": "call", "call_id": None if key is None else str(key), "name": name if isinstance(name, str) else None, "error": error, "refs": sorted(_refs(arguments)),
@@ -155,10 +154,16 @@ def parse(role: str | None, text: str | None, schemas: Mapping[str, Mapping]) ->
             message(text[at:].strip())
     if not out:
         message(text)
+    for found in _TOOLS.finditer(text) if role == "system" else ():
+        listed = _loads(found[1])
+        for item in listed if isinstance(listed, list) else [listed]:
+            spec = item.get("function", item) if isinstance(item, dict) else {}
+            if isinstance(spec, dict) and isinstance(spec.get("name"), str):
+                out.append({"kind": "tool", "call_id": None, "name": spec["name"], "error": None, "refs": [], "json": spec.get("parameters", {})})
     return out
 
 
-def parts(turns: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
+def parts(turns: DataFrame) -> DataFrame:
     """A row for each part: conv_id, turn, part, kind, call_id, name, error, refs, json."""
     fields = [("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("call_id", pa.string()), ("name", pa.string()), ("error", pa.string()), ("refs", pa.list_(pa.string())), ("json", pa.string())]
     schema = pa.schema(fields)
@@ -167,7 +172,7 @@ def parts(turns: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, p in enumerate(parse(role, text, schemas)):
+                for i, p in enumerate(parse(role, text)):
                     try:
                         body = canonical(p["json"])
                     except (ValueError, RecursionError):
@@ -180,15 +185,45 @@ def parts(turns: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     return turns.mapInArrow(scan, kind)
 
 
-def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, most: int = 64) -> DataFrame:
+def validated(calls: DataFrame, declared: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
+    """calls with error: the first breach of the schema that their conversation declares (declared: conv_id, name, schema)
+    for their tool, or of schemas where it declares no tool at all; a tool of neither is unknown, and without schemas any is allowed."""
+    own = declared.select(F.col("conv_id").alias("dc"), F.col("name").alias("dn"), "schema")
+    some = declared.select(F.col("conv_id").alias("sc")).distinct().withColumn("declares", F.lit(True))
+    joined = (calls.join(own, (F.col("conv_id") == F.col("dc")) & (F.col("name") == F.col("dn")), "left").join(some, F.col("conv_id") == F.col("sc"), "left")
+              .select(*calls.columns, "schema", F.coalesce("declares", F.lit(False)).alias("declares")))
+    names = calls.columns
+    at, body = names.index("error"), names.index("json")
+
+    def breach(arguments: str, name: str, schema: str | None, declares: bool) -> str | None:
+        found = _loads(schema) if schema is not None else None if declares else schemas.get(name)
+        if found is None:
+            return "unknown tool" if declares or schemas else None
+        try:
+            return violation(_loads(arguments)["arguments"], found) if isinstance(found, (Mapping, bool)) else "unusable schema"
+        except (TypeError, ValueError, AttributeError, KeyError, RecursionError, re.error):
+            return "unusable schema"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, schema, declares = batch.columns
+            name = batch.column("name").to_pylist()
+            errors = [e if e is not None else breach(*x) for e, *x in zip(columns[at].to_pylist(), columns[body].to_pylist(), name, schema.to_pylist(), declares.to_pylist())]
+            columns[at] = pa.array(errors, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(scan, calls.schema)
+
+
+def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Formatted parts of conversations (conv_id, turn, role, text): conv_id, slot, level, turn, part, kind, call_id,
     linked_turn, status, json. Sorting by (conv_id, slot, level, turn, part) is a topological order.
 
     A result is linked to the first call (by turn and part) of its conversation and identifier, and has that
-    call's turn as linked_turn; a call has its first result's. status is ok; for calls a breach of the schema
-    (any tool is allowed without schemas), no id, or unanswered; for results no call; for parts that wait for
-    each other, or for such parts, cycle (in their own turn, level 0). `most` is taken from callers and bounds nothing:
-    there is a round for each part of the longest chain. slot is the turn a part can stand in: its own, or that of what it waits for, if later;
+    call's turn as linked_turn; a call has its first result's. status is ok; for calls a breach of their tool's schema
+    (see validated; of two declarations in a conversation the first counts), no id, or unanswered; for results no call; for parts that wait for
+    each other, or for such parts, cycle (in their own turn, level 0). There is a round for each part of the longest
+    chain. slot is the turn a part can stand in: its own, or that of what it waits for, if later;
     level its place among parts of that slot. Null roles and texts are empty; null conv_id or turn never link
     and keep null. Repeated rows each return, and link alike. An empty table gives no rows; other columns are
     ignored.
@@ -196,9 +231,11 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, most: i
     spark = turns.sparkSession
     stages = Stages(spark, "toolcalls")
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    every = parts(rows, dict(schemas or {}))
+    every = parts(rows)
     plain = every.where("kind = 'message'").select("conv_id", F.col("turn").alias("slot"), F.lit(0).alias("level"), "turn", "part", "kind", "call_id", F.lit(None).cast("long").alias("linked_turn"), F.lit("ok").alias("status"), "json")
-    tools = stages.put(every.where("kind <> 'message'"), "tools")
+    tools = stages.put(every.where("kind <> 'message'"), "parts")
+    declared = tools.where("kind = 'tool' and conv_id is not null").groupBy("conv_id", "name").agg(F.min(F.struct("turn", "part", "json")).alias("first")).select("conv_id", "name", F.col("first.json").alias("schema"))
+    tools = stages.put(validated(tools.where("kind = 'call'"), declared, dict(schemas or {})).unionByName(tools.where("kind = 'result'")), "tools")
     where = F.struct("turn", "part")
     keyed = tools.where("call_id is not null and conv_id is not null and turn is not null")
     first = keyed.groupBy("conv_id", "call_id").agg(F.min(F.when(F.col("kind") == "call", where)).alias("c"), F.min(F.when(F.col("kind") == "result", where)).alias("r"))
@@ -239,9 +276,60 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, most: i
               .when(is_call & F.col("r").isNull(), F.lit("unanswered")).when(~is_call & F.col("c").isNull(), F.lit("no call")).otherwise(F.coalesce("error", F.lit("ok"))))
     linked = linked.select("conv_id", F.greatest(F.coalesce("slot", "turn"), "turn").alias("slot"), F.coalesce(F.when(F.coalesce("slot", "turn") >= F.col("turn"), F.col("level")), F.lit(0)).alias("level"), "turn", "part", "kind", "call_id",
                            F.when(is_call, F.col("r.turn")).otherwise(F.col("c.turn")).alias("linked_turn"), status.alias("status"), "json")
-    return plain.unionByName(linked)
+    return stages.finish(plain.unionByName(linked))
 
 
 def op5_tool_calls(spark, sf_dir: str) -> DataFrame:
     """Whole `conversations`, in topological order: conv_id, slot, level, turn, part, kind, call_id, linked_turn, status, json."""
     return link(read_table(spark, sf_dir, "conversations")).orderBy("conv_id", "slot", "level", "turn", "part")
+
+
+def derived_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls, made of plain ones by a rule, to hold link() against SQL.
+
+    An assistant's turn becomes a call of `reply`, with id c<turn>, the length of its text, and a reference to the
+    call before; a user's turn right after it becomes its result. A system turn declares `reply`, with at most 900
+    characters. Where the text of the first turn has an even length, the first call refers to the last one."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    whole = Window.partitionBy("conv_id")
+    call = F.col("role") == "assistant"
+    name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    before = F.max(F.when(call, F.col("turn"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    even = F.first(F.length("text") % 2 == 0).over(by)
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    c = c.select("*", F.coalesce(before, F.when(even, F.max(F.when(call, F.col("turn"))).over(whole))).alias("ref"), F.lag("role").over(by).alias("role0"), F.lag("turn").over(by).alias("turn0"))
+    arguments = F.struct(F.length("text").alias("chars"), F.when(F.col("ref").isNotNull(), F.struct(name(F.col("ref")).alias("$ref"))).alias("after"))
+    made = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.struct(F.lit("reply").alias("name"), arguments.alias("arguments")).alias("function"))).alias("tool_calls")))
+    answer = (F.col("role") == "user") & (F.col("role0") == "assistant")
+    tools = '<tools>[{"name": "reply", "parameters": {"type": "object", "properties": {"chars": {"type": "integer", "maximum": 900}}, "required": ["chars"]}}]</tools>'
+    text = (F.when(call, made).when(answer, F.to_json(F.struct(name(F.col("turn0")).alias("tool_call_id"), F.col("text").alias("content"))))
+            .when(F.col("role") == "system", F.lit(tools)).otherwise(F.col("text")))
+    return c.select("conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def tool_calls_derived(spark, sf_dir: str) -> DataFrame:
+    """Calls and results that link() finds in derived_calls of whole `conversations`."""
+    linked = link(derived_calls(read_table(spark, sf_dir, "conversations"))).where("kind <> 'message'")
+    return linked.select("conv_id", "turn", "kind", "call_id", "linked_turn", "status", "slot")
+
+
+TOOL_CALLS_DERIVED_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, length(coalesce(text, '')) n, lag(role) OVER w role0, lag(turn) OVER w turn0, first_value(length(coalesce(text, ''))) OVER w % 2 = 0 even
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT DISTINCT conv_id FROM t WHERE role = 'system'),
+a AS (SELECT conv_id, turn, n, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), CASE WHEN even THEN max(turn) OVER (PARTITION BY conv_id) END) ref FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, turn0 call FROM t WHERE role = 'user' AND role0 = 'assistant'),
+e AS (SELECT conv_id, turn x, call y FROM r UNION ALL SELECT a.conv_id, a.turn, r.turn FROM a JOIN r ON r.conv_id = a.conv_id AND r.call = a.ref),
+w(conv_id, x, y) AS (SELECT * FROM e UNION SELECT w.conv_id, w.x, e.y FROM w JOIN e ON e.conv_id = w.conv_id AND e.x = w.y),
+loops AS (SELECT conv_id, x FROM w WHERE x = y),
+stuck AS (SELECT conv_id, x FROM loops UNION SELECT w.conv_id, w.x FROM w JOIN loops l ON l.conv_id = w.conv_id AND l.x = w.y),
+late AS (SELECT conv_id, x, max(y) y FROM w GROUP BY conv_id, x),
+p AS (
+  SELECT a.conv_id, a.turn, 'call' kind, 'c' || a.turn call_id, r.turn linked_turn, n > 900 AND a.conv_id IN (SELECT conv_id FROM s) broken FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.call = a.turn
+  UNION ALL SELECT conv_id, turn, 'result', 'c' || call, call, false FROM r)
+SELECT p.conv_id, p.turn, kind, call_id, linked_turn,
+  CASE WHEN broken THEN '$.chars: maximum' WHEN stuck.x IS NOT NULL THEN 'cycle' WHEN kind = 'call' AND linked_turn IS NULL THEN 'unanswered' ELSE 'ok' END status,
+  CASE WHEN stuck.x IS NOT NULL THEN p.turn ELSE greatest(p.turn, coalesce(late.y, p.turn)) END slot
+FROM p LEFT JOIN stuck ON stuck.conv_id = p.conv_id AND stuck.x = p.turn LEFT JOIN late ON late.conv_id = p.conv_id AND late.x = p.turn
+"""

@@ -618,7 +618,7 @@ def test_tool_calls(spark):
         (None, None, "tool", json.dumps({"tool_call_id": "a"})), (5, 0, "user", "same"), (5, 0, "user", "same")]
     schemas = {"get": {"type": "object", "properties": {"city": {"type": "string"}}, "required": ["city"]}, "sum": {"type": "object"}}
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash")).withColumn("slot", F.lit(1))
-    out = toolcalls.link(df, schemas, 12).orderBy("conv_id", "slot", "level", "turn", "part").collect()
+    out = toolcalls.link(df, schemas).orderBy("conv_id", "slot", "level", "turn", "part").collect()
     one = [(r["kind"], r["call_id"], r["turn"], r["linked_turn"], r["status"]) for r in out if r["conv_id"] == 1]
     names = [(k, c) for k, c, *_ in one]
     assert names.index(("call", "c1")) < names.index(("result", "c1")) < names.index(("call", "c2")) < names.index(("result", "c2"))
@@ -639,7 +639,23 @@ def test_a_cycle_leaves_other_chains_alone(spark):
     deep = [call(f"c{i}", f"c{i - 1}" if i else None) for i in range(9)]
     turns = [(1, 0, "assistant", json.dumps({"tool_calls": deep}))] + [(1, 1, "tool", "".join(f'<tool_response>{{"id": "c{i}"}}</tool_response>' for i in range(9)))]
     turns += [(2, 0, "assistant", json.dumps({"tool_calls": [call("a", "b"), call("b", "a"), call("d", "a")]}))] + [(2, i, "tool", json.dumps({"tool_call_id": k})) for i, k in ((1, "a"), (2, "b"), (3, "d"))]
-    out = toolcalls.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), None, 8).collect()
+    out = toolcalls.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert {r["status"] for r in out if r["conv_id"] == 1} == {"ok"} and {r["status"] for r in out if r["conv_id"] == 2} == {"cycle"}
     places = {(r["kind"], r["call_id"]): (r["slot"], r["level"]) for r in out if r["conv_id"] == 1}
     assert places["call", "c0"] == (0, 0) and all(places["result", f"c{i}"] == (1, 2 * i) for i in range(9)) and all(places["call", f"c{i}"] == (1, 2 * i - 1) for i in range(1, 9))
+
+
+def test_schemas_that_conversations_declare(spark):
+    tools = '<tools>[{"name": "f", "parameters": {"required": ["a"]}}, {"function": {"name": "g", "parameters": {"pattern": "("}}}, {"name": "f"}, 3]</tools>'
+    call = lambda i, name, args: {"id": i, "function": {"name": name, "arguments": args}}
+    many = json.dumps({"tool_calls": [call("1", "f", {"b": 1}), call("2", "f", {"a": 1}), call("3", "h", {})]})
+    turns = [(1, 0, "system", f"Use these. {tools}"), (1, 1, "assistant", many), (2, 0, "user", tools), (2, 1, "assistant", many), (None, 0, "system", tools)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    status = lambda schemas: {(r["conv_id"], r["call_id"]): r["status"] for r in toolcalls.link(df, schemas).where("kind = 'call'").collect()}
+    assert status(None) == {(1, "1"): "$.a: missing", (1, "2"): "unanswered", (1, "3"): "unknown tool", (2, "1"): "unanswered", (2, "2"): "unanswered", (2, "3"): "unanswered"}
+    assert status({"h": {}}) == {(1, "1"): "$.a: missing", (1, "2"): "unanswered", (1, "3"): "unknown tool", (2, "1"): "unknown tool", (2, "2"): "unknown tool", (2, "3"): "unanswered"}
+
+
+def test_derived_calls_hold_every_case(spark):
+    found = toolcalls.tool_calls_derived(spark, "/root/testdata/sf0.01").groupBy("kind", "status").count().collect()
+    assert {(r["kind"], r["status"]) for r in found} == {("call", "ok"), ("call", "unanswered"), ("call", "cycle"), ("call", "$.chars: maximum"), ("result", "ok"), ("result", "cycle")}

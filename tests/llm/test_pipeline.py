@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations", "labels", "pages"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return con
 
