@@ -3,10 +3,11 @@
 Trusted positives (quality 1) and unlabelled web text train a model by the non-negative unbiased risk
 (Kiryo et al. 2017) with the logistic loss: pi R_p+ + max(0, R_u- - pi R_p-). The class prior pi is estimated
 from the two samples: the least ratio of unlabelled to positive mass above a score (Scott 2015). Labels of 0
-are never read. Features are shape statistics of a text, cut at quantiles of the unlabelled sample.
+are never read. Features are shape statistics of a text, cut at quantiles of the unlabelled sample, and the shares
+of its words and of its runs of three bytes by hashed classes.
 
-The fit runs on the driver over SAMPLE rows of each kind at most, taken by the order of a digest of the id;
-scoring covers every whole text.
+The fit runs on the driver over SAMPLE ids of each kind at most, a row each, taken by the order of a digest of the
+id; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lagstream.llm.common import read_table
 #: Rows of each kind (positive, unlabelled) that the fit sees at most.
 SAMPLE = 20_000
 CUTS = 12
+#: Hashed classes of words, and as many of runs of three bytes.
+CLASSES = 128
 
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
@@ -37,7 +40,7 @@ FEATURES = ("log_words", "word_length", "distinct", "top_share", "repeats", "upp
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """Statistics of each whole text (rows x FEATURES); null and empty texts are all zero."""
+    """Statistics of each whole text (rows x FEATURES, then 2 CLASSES of square roots of shares); null and empty texts are all zero."""
     buf, offsets = bt.column_bytes(column)
     out = []
     for lo, hi in bt.row_slices(offsets):
@@ -66,32 +69,40 @@ def features(column: pa.Array) -> np.ndarray:
                 lines[r], distinct_lines[r] = len(own), len(np.unique(own))
         size, some = np.maximum(np.diff(at), 1).astype(float), np.maximum(n, 1)
         upper, lower = count(_UPPER[part]), count(_LOWER[part])
-        out.append(np.stack([
+        shape = np.stack([
             np.log1p(n), np.bincount(doc, ends - starts, m) / some, distinct / some, top / some, np.bincount(doc, same, m) / some,
             upper / np.maximum(upper + lower, 1), count(_DIGIT[part]) / size, count(~_PLAIN[part]) / some, count(part == 0x2E) / some,
-            np.log1p(n / np.maximum(lines, 1)), distinct_lines / np.maximum(lines, 1), count(part == 0x21) / some, count(part == 0x2C) / some], 1))
-    return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
-
-
+            np.log1p(n / np.maximum(lines, 1)), distinct_lines / np.maximum(lines, 1), count(part == 0x21) / some, count(part == 0x2C) / some], 1)
+        # runs of three bytes inside a text, A-Z as a-z
+        low = np.where(_UPPER[part], part | 0x20, part).astype(np.uint32)
+        runs = (low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(0x9E3779B1) >> np.uint32(16) if len(low) > 2 else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(m), np.diff(at))[:len(runs)]
+        inside = np.arange(len(runs)) + 2 < at[1:][owner]
+        lexical = [np.bincount(own * CLASSES + kind.astype(np.int64) % CLASSES, minlength=m * CLASSES).reshape(m, CLASSES) for own, kind in ((doc, words % np.uint64(1 << 32)), (owner[inside], runs[inside]))]
+        out.append(np.concatenate([shape, *(np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1)) for c in lexical)], 1).astype(np.float32))
+    return np.concatenate(out) if out else np.zeros((0, WIDTH), np.float32)
+
+
+WIDTH = len(FEATURES) + 2 * CLASSES
 _LINE = np.ones(256, bool)
 _LINE[[0x0A, 0x0D]] = False
 
 
 class Model:
-    """A logistic model over steps at quantiles of each feature."""
+    """A logistic model over steps at quantiles of each statistic, and the classes' shares as they are."""
 
     def __init__(self, cuts: list[np.ndarray]):
         self.cuts = cuts
-        self.weights = np.zeros(1 + sum(len(c) for c in cuts))
+        self.weights = np.zeros(1 + sum(len(c) for c in cuts) + 2 * CLASSES, np.float32)
 
     def steps(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.ones((len(x), 1))] + [(x[:, i:i + 1] > c[None, :]).astype(float) for i, c in enumerate(self.cuts)], 1)
+        return np.concatenate([np.ones((len(x), 1), np.float32)] + [(x[:, i:i + 1] > c[None, :]).astype(np.float32) for i, c in enumerate(self.cuts)] + [x[:, len(FEATURES):]], 1)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.steps(x) @ self.weights
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+        return _sigmoid(self.margin(x))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -122,7 +133,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 2e-4) -> tuple[Model, float]:
     """The model and its class prior. Without positives or unlabelled rows every text gets one half."""
-    base = unlabelled if len(unlabelled) else np.zeros((1, len(FEATURES)))
+    base = unlabelled if len(unlabelled) else np.zeros((1, WIDTH))
     model = Model([np.unique(np.quantile(base[:, i], np.linspace(0, 1, CUTS + 2)[1:-1])) for i in range(len(FEATURES))])
     if not len(positive) or not len(unlabelled):
         return model, 0.5
@@ -146,18 +157,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 2e-4) -> tu
 
 
 def sampled(docs: DataFrame, ids: DataFrame, text_col: str) -> np.ndarray:
-    """Features of the texts of ids (at most SAMPLE), in the order of their ids."""
-    schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    """Features of the texts of ids (at most SAMPLE), in the order of their ids; of rows of one id the least features."""
+    schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(1))
-            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], schema=schema)
 
-    found = docs.join(F.broadcast(ids), "id", "left_semi").select("id", F.col(text_col).cast("string")).mapInArrow(scan, "id long, x array<double>").toArrow()
-    x = found.column("x").combine_chunks().values.to_numpy().reshape(-1, len(FEATURES)) if found.num_rows else np.zeros((0, len(FEATURES)))
-    return x[np.lexsort((*x.T, found.column("id").to_numpy()))]
+    found = docs.join(F.broadcast(ids), "id", "left_semi").select("id", F.col(text_col).cast("string")).mapInArrow(scan, "id long, x array<float>").groupBy("id").agg(F.min("x").alias("x")).toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH) if found.num_rows else np.zeros((0, WIDTH), np.float32)
+    return x[np.argsort(found.column("id").to_numpy())]
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
@@ -179,7 +190,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SA
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.value.probability(features(batch.column(1))))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.value.probability(features(batch.column(1))), pa.float64())], schema=schema)
 
     return rows.mapInArrow(scan, "id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 

@@ -398,6 +398,19 @@ def test_quality(spark):
     assert abs(puquality.class_prior(p, u) - 0.7) < 0.05
 
 
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = puquality.op9_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert len(good) > 40 and len(bad) > 5 and np.mean(good[:, None] > bad[None, :]) > 0.9
+
+
+def test_repeated_ids_train_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(2, "other")], "id long, text string")
+    x = puquality.sampled(docs, spark.createDataFrame([(1,), (2,)], "id long"), "text")
+    assert x.shape == (2, puquality.WIDTH)
+
+
 # --- 10
 
 
