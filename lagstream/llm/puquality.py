@@ -138,9 +138,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 2e-4) -> tu
     if not len(positive) or not len(unlabelled):
         return model, 0.5
     a, b = model.steps(positive), model.steps(unlabelled)
+    # classes are many for few positives, and held back accordingly
+    penalty = np.full(len(model.weights), ridge, np.float32)
+    penalty[-2 * CLASSES:] += 4 / len(a)
 
     def told_apart(w):
-        return -(1 - _sigmoid(a @ w)) @ a / len(a) + _sigmoid(b @ w) @ b / len(b) + 2 * ridge * w
+        return -(1 - _sigmoid(a @ w)) @ a / len(a) + _sigmoid(b @ w) @ b / len(b) + 2 * penalty * w
 
     w = _descend(np.zeros_like(model.weights), told_apart, 200)
     prior = class_prior(a @ w, b @ w)
@@ -150,7 +153,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 2e-4) -> tu
         up = -prior * (1 - p) @ a / len(a)  # pi R_p+
         down = u @ b / len(b) - prior * (p @ a) / len(a)  # R_u- - pi R_p-
         negative = np.logaddexp(0, b @ w).mean() - prior * np.logaddexp(0, a @ w).mean()
-        return (up + down if negative >= 0 else -down) + 2 * ridge * w
+        return (up + down if negative >= 0 else -down) + 2 * penalty * w
 
     model.weights = _descend(np.zeros_like(model.weights), risk)
     return model, prior
