@@ -66,8 +66,12 @@ class TimeLaggedConcatDataset(TimeLaggedDataset):
         """Every k-th pair, counted through from one dataset to the next."""
         from pyspark.sql import Window
 
-        order = Window.orderBy("dataset_id", "traj_id", "t")
-        return self.pairs.withColumn("_n", F.row_number().over(order) - 1).where(F.col("_n") % k == 0).drop("_n")
+        own = ["dataset_id", "traj_id"]
+        # only one row for each trajectory is numbered through
+        sizes = self.pairs.groupBy(*own).agg(F.count("*").alias("_size"))
+        before = F.coalesce(F.sum("_size").over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = self.pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("t")) - 1)
+        return numbered.join(sizes.select(*own, before.alias("_before")), own).where((F.col("_n") + F.col("_before")) % k == 0).select(*self.pairs.columns)
 
 
 def to_dataset(spark: SparkSession, data, lagtime: int | None = None):

@@ -273,44 +273,81 @@ def tmatrix_metropolis1d(energies, d: float = 1.0) -> np.ndarray:
 
 
 class DrunkardsWalk:
-    """Random walk on a grid between bar and home, which absorb; barriers are impassable or weighted."""
+    """Random walk on a grid from a bar to a home, to any of the eight neighbours with equal probability.
+
+    Bar and home keep the walker: staying has a hundred times the weight of a step. Barriers are lines of cells: a
+    step onto one has no weight, or 1 / weight where it has one; who stands on an impassable one stays like at home."""
+
+    STAY = 100.0
 
     def __init__(self, grid_size, bar_location, home_location):
-        self.n, self.m = grid_size
-        self.bar = [self.state(c) for c in np.atleast_2d(bar_location)]
-        self.home = [self.state(c) for c in np.atleast_2d(home_location)]
-        self.barriers: dict[tuple[int, int], float] = {}
+        self.grid_size = self.n, self.m = grid_size
+        self.bar_location, self.home_location = np.atleast_2d(bar_location), np.atleast_2d(home_location)
+        self.bar_state, self.home_state = ([self.coordinate_to_state(c) for c in cells] for cells in (self.bar_location, self.home_location))
+        self.barriers: dict[tuple[int, int], float | None] = {}
 
-    def state(self, c) -> int:
+    n_states = property(lambda self: self.n * self.m)
+
+    def coordinate_to_state(self, c) -> int:
         return int(c[0] + self.n * c[1])
 
-    def coordinate(self, s: int) -> tuple[int, int]:
+    def state_to_coordinate(self, s: int) -> tuple[int, int]:
         return s % self.n, s // self.n
 
+    def is_valid_coordinate(self, c) -> bool:
+        return 0 <= c[0] < self.n and 0 <= c[1] < self.m
+
+    @staticmethod
+    def line(begin, end) -> list[tuple[int, int]]:
+        """Cells of a straight line (Bresenham 1965); a diagonal step also takes the cell beside it, so nobody slips through."""
+        (x, y), cells = begin, []
+        width, height = abs(end[0] - x), abs(end[1] - y)
+        right, up = (1 if end[0] > x else -1), (1 if end[1] > y else -1)
+        balance = width - height
+        while (x, y) != tuple(end):
+            cells.append((x, y))
+            across, along = 2 * balance >= -height, 2 * balance <= width
+            if across:
+                x, balance = x + right, balance - height
+            if along:
+                y, balance = y + up, balance + width
+            if across and along:
+                cells.append((x, y - up))
+        return [*cells, (x, y)]
+
     def add_barrier(self, begin, end, weight: float | None = None) -> None:
-        """Impassable (weight None) or slower steps between two neighbouring cells."""
-        a, b = self.state(begin), self.state(end)
-        self.barriers[a, b] = self.barriers[b, a] = 0.0 if weight is None else weight
+        """A barrier along a line: impassable, or stepped onto with 1 / weight of the probability. A cell keeps its first barrier."""
+        for cell in self.line(begin, end):
+            self.barriers.setdefault(cell, weight)
 
     @property
     def transition_matrix(self) -> np.ndarray:
-        t = np.zeros((self.n * self.m,) * 2)
-        for s in range(len(t)):
-            x, y = self.coordinate(s)
-            if s in self.bar or s in self.home:
-                t[s, s] = 1
-                continue
-            for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                if 0 <= x + dx < self.n and 0 <= y + dy < self.m:
-                    o = self.state((x + dx, y + dy))
-                    t[s, o] = self.barriers.get((s, o), 1.0)
-            t[s] = t[s] / t[s].sum() if t[s].any() else np.eye(len(t))[s]
-        return t
-
-    def walk(self, start, n: int, seed: int = 0) -> np.ndarray:
+        ends = {*self.bar_state, *self.home_state}
+        t = np.zeros((self.n_states,) * 2)
+        for s in range(self.n_states):
+            here = self.state_to_coordinate(s)
+            stuck = here in self.barriers and self.barriers[here] is None
+            t[s, s] = self.STAY if s in ends or stuck else 0.0
+            for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+                there = here[0] + dx, here[1] + dy
+                if self.is_valid_coordinate(there):
+                    o = self.coordinate_to_state(there)
+                    if there in self.barriers:
+                        t[s, o] = 1 / self.barriers[there] if self.barriers[there] is not None else 0.0
+                    else:
+                        t[s, o] = self.STAY if s in ends and o in ends else 1.0
+        return t / t.sum(1, keepdims=True)
+
+    @property
+    def msm(self):
         from lagstream.operators.msm import MarkovStateModel
 
-        return MarkovStateModel(self.transition_matrix, np.full(self.n * self.m, 1 / (self.n * self.m))).simulate(n, self.state(start), [*self.bar, *self.home], seed=seed)
+        return MarkovStateModel(self.transition_matrix)
+
+    def walk(self, start, n: int, stop: bool = True, seed: int = 0) -> np.ndarray:
+        """Coordinates of a walk, which ends at the bar or at home, or with stop=False after n steps."""
+        states = self.msm.simulate(n, self.coordinate_to_state(start), [*self.bar_state, *self.home_state] if stop else None, seed=seed)
+        return np.array([self.state_to_coordinate(int(s)) for s in states])
 
 
 def _chain(t: np.ndarray, n: int, seed: int) -> np.ndarray:

@@ -130,11 +130,28 @@ def kmeans_plusplus(df: DataFrame, n_clusters: int, metric: str = "euclidean", s
         drawn = df.select("x", F.pandas_udf(d2, "double")("x").alias("d2")).where("d2 > 0").orderBy((F.log(u) / F.col("d2")).desc()).limit(tries).collect()
         if not drawn:
             raise ValueError("fewer distinct frames than clusters")
-        options = [np.vstack([centers, r["x"]]) for r in drawn]
-        centers = min(options, key=lambda c: cost(df, c, metric))
+        options = np.array([r["x"] for r in drawn], float)
+        centers = np.vstack([centers, options[int(np.argmin(_costs_with(df, centers, options, metric)))]])
     return centers
 
 
+def _costs_with(df: DataFrame, centers: np.ndarray, options: np.ndarray, metric: str) -> np.ndarray:
+    """The cost of the centres with each of the options, of all in one scan."""
+    distance, kept = METRICS[metric], df.sparkSession.sparkContext.broadcast((centers, options))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new = kept.value
+        total = np.zeros(len(new))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                x = _frames(batch.column(0).slice(lo, 4096))
+                total += np.minimum(distance(x, old).min(1)[:, None] ** 2, distance(x, new) ** 2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(new)), pa.int32()), pa.array(total)], names=["k", "c"])
+
+    found = df.select("x").mapInArrow(scan, "k int, c double").groupBy("k").agg(F.sum("c").alias("c")).collect()  # a row for each option
+    return np.array([r["c"] for r in sorted(found, key=lambda r: r["k"])])
+
+
 class KMeans:
     """Lloyd iterations; each is one scan with partial sums. Stops when the cost of the new centres under the old
     assignment changes by at most tolerance, relative."""

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstream.functions import graph
@@ -46,25 +45,24 @@ def count_matrix(dtraj: DataFrame, lag: int, mode: str = "sliding", by_join: boo
 
 def count_matrices(dtraj: DataFrame, lags: Sequence[int]) -> DataFrame:
     """Sliding counts (lag, i, j, v) of several lags in one pass: one window, one grouped sum."""
-    at = Window.partitionBy("traj_id").orderBy("t")
-    leads = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead("state", k).over(at).alias("j")) for k in lags))
+    leads = F.array(*(F.struct(F.lit(k).alias("lag"), _lag.later(F.col("state"), k).alias("j")) for k in lags))
     pairs = dtraj.withColumn("p", leads).select(F.col("state").alias("i"), F.inline("p")).where("i >= 0 and j >= 0")
     return pairs.groupBy("lag", "i", "j").agg(F.count("*").cast("double").alias("v"))
 
 
 def twostep_counts(dtraj: DataFrame, lag: int) -> DataFrame:
     """Triples (i, k, j, v): states at t, t + lag and t + 2 lag."""
-    at = Window.partitionBy("traj_id").orderBy("t")
-    triples = dtraj.select(F.col("state").alias("i"), F.lead("state", lag).over(at).alias("k"), F.lead("state", 2 * lag).over(at).alias("j"))
+    triples = dtraj.select(F.col("state").alias("i"), _lag.later(F.col("state"), lag).alias("k"), _lag.later(F.col("state"), 2 * lag).alias("j"))
     return triples.where("i >= 0 and k >= 0 and j >= 0").groupBy("i", "k", "j").agg(F.count("*").cast("double").alias("v"))
 
 
 def reweighted_count_matrix(dtraj: DataFrame, lag: int) -> DataFrame:
-    """Path-reweighted sliding counts of a table with columns g and m: weight g_t exp(-(m_{t+1} + .. + m_{t+lag}))."""
-    at = Window.partitionBy("traj_id").orderBy("t")
-    weight = F.col("g") * F.exp(-F.sum("m").over(at.rowsBetween(1, lag)))
-    pairs = dtraj.select(F.col("state").alias("i"), F.lead("state", lag).over(at).alias("j"), weight.alias("w"))
-    return pairs.where("i >= 0 and j >= 0").groupBy("i", "j").agg(F.sum("w").alias("v"))
+    """Path-reweighted sliding counts of a table with columns g and m: weight g_t exp(-(m_{t+1} + .. + m_{t+lag})). A
+    pair counts only where every frame between its ends is there."""
+    path = Window.partitionBy("traj_id").orderBy("t").rangeBetween(1, lag)
+    weight = F.when(F.count("m").over(path) == lag, F.col("g") * F.exp(-F.sum("m").over(path)))
+    pairs = dtraj.select(F.col("state").alias("i"), _lag.later(F.col("state"), lag).alias("j"), weight.alias("w"))
+    return pairs.where("i >= 0 and j >= 0 and w is not null").groupBy("i", "j").agg(F.sum("w").alias("v"))
 
 
 def statistical_inefficiency(sequences: Sequence[np.ndarray], truncate_acf: bool = True, mact: float = 1.0) -> float:
@@ -86,18 +84,44 @@ def statistical_inefficiency(sequences: Sequence[np.ndarray], truncate_acf: bool
     return float(1 / (2 * (0.5 + mact * total / second)))
 
 
-def statistical_inefficiencies(dtraj: DataFrame, lag: int, truncate_acf: bool = True, mact: float = 1.0) -> DataFrame:
+def statistical_inefficiencies(dtraj: DataFrame, lag: int, truncate_acf: bool = True, mact: float = 1.0, chunk: int = 16) -> DataFrame:
     """(i, j, si) of each counted transition. The indicator of j after i is taken in the order of frames, trajectory by
-    trajectory; a task handles one start state at a time."""
+    trajectory. Its autocorrelations come as grouped sums of `chunk` lags at a time, until each is truncated or the
+    longest run of i is exhausted; only a row for each transition reaches the driver."""
     pairs = transition_pairs(dtraj, lag)
-
-    def row(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["traj_id", "t"])
-        runs = [g.to_numpy() for _, g in part.groupby("traj_id", sort=False)["j"]]
-        out = [(int(part["i"].iloc[0]), int(j), statistical_inefficiency([r == j for r in runs], truncate_acf, mact)) for j in sorted(part["j"].unique())]
-        return pd.DataFrame(out, columns=["i", "j", "si"])
-
-    return pairs.groupBy("i").applyInPandas(row, "i int, j int, si double")
+    run = Window.partitionBy("traj_id", "i")
+    runs = pairs.select("traj_id", "i", "j", F.row_number().over(run.orderBy("t")).alias("p"), F.count("*").over(run).alias("n")).persist()
+    sizes = runs.where("p = 1").groupBy("i", "n").agg(F.count("*").alias("c")).toPandas()  # a row for each length of a run
+    table = runs.groupBy("i", "j").agg(F.count("*").alias("hits")).orderBy("i", "j").toPandas()
+    lengths = {i: (g["n"].to_numpy(), g["c"].to_numpy()) for i, g in sizes.groupby("i")}
+    whole = {i: float((n * c).sum()) for i, (n, c) in lengths.items()}
+    longest = {i: int(n.max()) for i, (n, _) in lengths.items()}
+    mean = {(r.i, r.j): r.hits / whole[r.i] for r in table.itertuples()}
+    total, open_ = dict.fromkeys(mean, 0.0), {k for k in mean if longest[k[0]] > 1}
+    first = 1
+    while open_:
+        wanted = [k for k in range(first, first + chunk)]
+        at = run.orderBy("p")
+        sums = runs.where(F.col("i").isin(sorted({i for i, _ in open_}))).select("i", "j", *(
+            F.struct((F.col("p") + k <= F.col("n")).cast("int").alias("head"), (F.col("p") > k).cast("int").alias("tail"), F.coalesce(F.lead("j", k).over(at) == F.col("j"), F.lit(False)).cast("int").alias("both")).alias(f"k{k}") for k in wanted))
+        rows = sums.groupBy("i", "j").agg(*(F.array(*(F.sum(f"k{k}.{c}") for c in ("head", "tail", "both"))).alias(f"k{k}") for k in wanted)).collect()
+        for r in rows:
+            key, (lens, times) = (r["i"], r["j"]), lengths[r["i"]]
+            for k in wanted if key in open_ else ():
+                if k >= longest[r["i"]]:
+                    open_.discard(key)
+                    break
+                head, tail, both = r[f"k{k}"]
+                n = float((np.maximum(lens - k, 0) * times).sum())
+                acf = (both - mean[key] * (head + tail)) / n + mean[key] ** 2
+                if truncate_acf and acf <= 1e-12 * mean[key]:  # zero but for rounding
+                    open_.discard(key)
+                    break
+                total[key] += acf * (1 - k / longest[r["i"]])
+        first += chunk
+    runs.unpersist()
+    rows = [(int(i), int(j), float(1 / (2 * (0.5 + mact * total[i, j] / m)))) for (i, j), m in mean.items()]
+    return dtraj.sparkSession.createDataFrame(rows, "i int, j int, si double")
 
 
 def effective_count_matrix(dtraj: DataFrame, lag: int, average: str = "row", truncate_acf: bool = True, mact: float = 1.0) -> DataFrame:
@@ -230,20 +254,30 @@ class PathReweightingEstimator(TransitionCountEstimator):
 # --- resampling
 
 
+def _poisson(u: Column, rate: Column, most: int = 24) -> Column:
+    """Poisson number of a rate below about 4, by its inverse distribution function at u."""
+    first = F.exp(-rate)
+
+    def more(state: Column, k: Column) -> Column:
+        term = state["term"] * rate / k
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"), (state["times"] + (u > state["total"]).cast("int")).alias("times"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(first.alias("term"), first.alias("total"), F.lit(0).alias("times")), more, lambda state: state["times"])
+
+
 def bootstrap_trajectories(dtraj: DataFrame, correlation_length: int, seed: int = 0) -> DataFrame:
-    """Segments of a correlation length, drawn until they hold as many frames: each has its own traj_id.
-
-    Start frames are drawn on the driver from the lengths of the trajectories (one row each)."""
-    spark, rng = dtraj.sparkSession, np.random.default_rng(seed)
-    sizes = dtraj.groupBy("traj_id").agg(F.count("*").alias("n")).orderBy("traj_id").toPandas()
-    n = sizes["n"].to_numpy()
-    draws = max(1, int(np.ceil(n.sum() / correlation_length)))
-    which = rng.choice(len(n), draws, p=n / n.sum())
-    start = rng.integers(0, np.maximum(n[which] - correlation_length + 1, 1))
-    plan = pd.DataFrame({"segment": np.arange(draws), "source": sizes["traj_id"].to_numpy()[which], "start": start})
-    plan = spark.createDataFrame(plan, "segment long, source long, start long").withColumn("t", F.explode(F.sequence("start", F.col("start") + correlation_length - 1)))
-    joined = dtraj.join(plan, (dtraj["traj_id"] == plan["source"]) & (dtraj["t"] == plan["t"]))
-    return joined.select(F.col("segment").alias("traj_id"), (dtraj["t"] - F.col("start")).alias("t"), "state")
+    """Segments of a correlation length, as many frames as there are on average: each has its own traj_id.
+
+    Every frame that can start a segment does so a Poisson number of times from its digest, at a rate by which a
+    trajectory's segments follow its length. A trajectory shorter than the correlation length is one segment."""
+    size = F.greatest(F.col("n") - correlation_length + 1, F.lit(1))
+    frames = dtraj.withColumn("n", F.count("*").over(Window.partitionBy("traj_id"))).withColumn("first", F.min("t").over(Window.partitionBy("traj_id")))
+    u = (F.xxhash64(F.lit(seed), "traj_id", "t") / 2.0**64) + 0.5
+    starts = frames.where(F.col("t") - F.col("first") < size).withColumn("times", _poisson(u, F.col("n") / (correlation_length * size)))
+    plan = starts.where("times > 0").select(F.col("traj_id").alias("source"), F.col("t").alias("start"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    plan = plan.withColumn("at", F.explode(F.sequence("start", F.col("start") + correlation_length - 1)))
+    joined = dtraj.join(plan, (dtraj["traj_id"] == plan["source"]) & (dtraj["t"] == plan["at"]))
+    return joined.select(F.xxhash64("source", "start", "copy").alias("traj_id"), (F.col("t") - F.col("start")).alias("t"), "state")
 
 
 def bootstrap_counts(dtraj: DataFrame, lag: int, corrlength: int | None = None, seed: int = 0) -> DataFrame:

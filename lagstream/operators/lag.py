@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstream.sources.trajectories import TrajectoryTooShortError
@@ -13,7 +13,8 @@ def _by_time() -> Window:
 
 
 def lag_pairs(df: DataFrame, lag: int, value: str = "x", by_join: bool = False) -> DataFrame:
-    """(traj_id, t, value, y): frames and those lag later; pairs never cross a trajectory, shorter ones give none.
+    """(traj_id, t, value, y): frames and those of time t + lag; pairs never cross a trajectory or a gap in t, shorter
+    ones give none.
 
     by_join pairs by an equi-join on (traj_id, t + lag), which also splits one trajectory that holds most rows; else
     one window over each trajectory needs a single shuffle.
@@ -21,10 +22,14 @@ def lag_pairs(df: DataFrame, lag: int, value: str = "x", by_join: bool = False)
     if lag <= 0:
         raise ValueError("lag must be positive")
     if by_join:
-        later = df.select(F.col("traj_id"), (F.col("t") - lag).alias("t"), F.col(value).alias("y"))
-        return df.join(later, ["traj_id", "t"])
-    at = Window.partitionBy("traj_id").orderBy("t")
-    return df.withColumn("y", F.lead(F.struct(value), lag).over(at)).where("y is not null").withColumn("y", F.col(f"y.{value}"))
+        ends = df.select(F.col("traj_id"), (F.col("t") - lag).alias("t"), F.col(value).alias("y"))
+        return df.join(ends, ["traj_id", "t"])
+    return df.withColumn("y", later(F.struct(value), lag)).where("y is not null").withColumn("y", F.col(f"y.{value}"))
+
+
+def later(value: Column, lag: int) -> Column:
+    """The value of the same trajectory at time t + lag; null where that frame is absent, whatever row comes next."""
+    return F.first(value).over(Window.partitionBy("traj_id").orderBy("t").rangeBetween(lag, lag))
 
 
 def require_pairs(df: DataFrame, lag: int) -> DataFrame:

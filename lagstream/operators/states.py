@@ -86,14 +86,23 @@ def index_states(dtraj: DataFrame, subset: Sequence[int] | None = None) -> DataF
 def sample_by_state(dtraj: DataFrame, n: int, subset: Sequence[int] | None = None, replace: bool = True, seed: int = 0) -> DataFrame:
     """n frames of each state, (state, draw, traj_id, t): drawn by keys of a digest, so a draw does not depend on partitions.
 
-    With replacement each draw takes the frame of least digest under its own key, a grouped minimum; without, the n
-    frames of least digest, pre-selected by partition. States without frames give none.
+    Without replacement these are the n frames of least digest, pre-selected by partition. With, a draw repeats an
+    earlier one's frame with the probability of meeting one of those k among the state's N frames, k / N, and else
+    takes the next of them; only a state's size and n numbers are drawn outside. States without frames give none.
     """
     frames = index_states(dtraj, subset)
     if replace:
-        drawn = frames.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        key = F.struct(F.xxhash64(F.lit(seed), "draw", "traj_id", "t").alias("h"), "traj_id", "t")
-        return drawn.groupBy("state", "draw").agg(F.min(key).alias("m")).select("state", "draw", "m.traj_id", "m.t")
+        sizes = frames.groupBy("state").count().orderBy("state").collect()  # a row for each state
+        rng, plan = np.random.default_rng(seed), []
+        for state, whole in sizes:
+            seen = 0
+            for draw in range(n):
+                old = rng.random() * whole < seen
+                plan.append((state, draw, int(rng.integers(seen)) if old else seen))
+                seen += not old
+        plan = dtraj.sparkSession.createDataFrame(plan, "state int, draw int, rank int")
+        distinct = sample_by_state(dtraj, n, subset, False, seed).withColumnRenamed("draw", "rank")
+        return plan.join(distinct, ["state", "rank"]).select("state", "draw", "traj_id", "t")
     from pyspark.sql import Window
 
     key = F.xxhash64(F.lit(seed), "traj_id", "t")

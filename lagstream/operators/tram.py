@@ -6,6 +6,7 @@ self-consistent updates act on those small tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -238,9 +239,13 @@ def mbar(samples: DataFrame, state_counts: np.ndarray, maxiter: int = 1000, maxe
 
 
 class TRAM:
-    """Transition-based reweighting (Wu et al. 2016)."""
+    """Transition-based reweighting (Wu et al. 2016).
 
-    def __init__(self, lagtime: int = 1, count_mode: str = "sliding", maxiter: int = 200, maxerr: float = 1e-8, init_strategy: str | None = "MBAR", init_maxiter: int = 200, init_maxerr: float = 1e-8, track_log_likelihoods: bool = False):
+    Every callback_interval rounds the callback is called, and the largest change of an energy and the log-likelihood
+    are kept; the latter, one more pass over the samples, only where it is tracked, else as minus infinity."""
+
+    def __init__(self, lagtime: int = 1, count_mode: str = "sliding", maxiter: int = 200, maxerr: float = 1e-8, init_strategy: str | None = "MBAR", init_maxiter: int = 200, init_maxerr: float = 1e-8, track_log_likelihoods: bool = False, callback_interval: int = 1):
+        self.callback_interval, self.log_likelihoods, self.energy_increments = callback_interval, [], []
         self.lagtime, self.count_mode, self.maxiter, self.maxerr = lagtime, count_mode, maxiter, maxerr
         self.init_strategy, self.init_maxiter, self.init_maxerr, self.track = init_strategy, init_maxiter, init_maxerr, track_log_likelihoods
 
@@ -257,8 +262,8 @@ class TRAM:
                 f = np.zeros(n.shape)
                 if self.init_strategy == "MBAR":
                     f += mbar(samples, n, self.init_maxiter, self.init_maxerr)[:, None]
-            likelihoods = []
-            for _ in range(self.maxiter):
+            self.log_likelihoods, self.energy_increments = [], []
+            for step in range(1, self.maxiter + 1):
                 # Lagrange multipliers, then effective state counts, then energies
                 w = np.exp(-f - (-f).max(1, keepdims=True))
                 for _inner in range(5):
@@ -274,12 +279,22 @@ class TRAM:
                 some = np.isfinite(new) & np.isfinite(f) & (n > 0)
                 change = np.abs((new - f)[some] - np.median((new - f)[some])).max()
                 f = new
-                if callback:
-                    callback(1, change)
-                if self.track:
-                    likelihoods.append(-change)
+                if self.callback_interval and step % self.callback_interval == 0:
+                    self.energy_increments.append(float(change))
+                    self.log_likelihoods.append(self._model(data, f, v, r).compute_log_likelihood(data) if self.track else -math.inf)
+                    if callback:
+                        callback(self.callback_interval, change)
                 if change < self.maxerr:
                     break
+        samples.unpersist()
+        return self._model(data, f, v, r)
+
+    def _model(self, data: TRAMDataset, f: np.ndarray, v: np.ndarray, r: np.ndarray) -> TRAMModel:
+        """The model of energies, multipliers and effective counts: p_ij is proportional to
+        (c_ij + c_ji) w_j / (w_i v_j + w_j v_i), with what a row lacks on its diagonal."""
+        c, n = data.transition_counts, data.state_counts
+        both = c + c.transpose(0, 2, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
             w = np.exp(-f - np.where(np.isfinite(f), -f, -np.inf).max(1, keepdims=True))
             d = w[:, :, None] * v[:, None, :] + w[:, None, :] * v[:, :, None]
             p = np.where(both > 0, both * w[:, None, :] / np.where(d > 0, d, 1), 0)
@@ -288,9 +303,8 @@ class TRAM:
             idx = np.arange(p.shape[1])
             p[:, idx, idx] += np.clip(1 - p.sum(2), 0, None)
             log_r = np.where(n > 0, np.log(np.maximum(r, 1e-300)) + f, -np.inf)
-        samples.unpersist()
         models = [TransitionCountModel(c[k], self.count_mode, self.lagtime, n[k].astype(int)) for k in range(len(c))]
-        return TRAMModel(f, np.log(np.maximum(v, 1e-300)), log_r, p, models, likelihoods)
+        return TRAMModel(f, np.log(np.maximum(v, 1e-300)), log_r, p, models, list(self.log_likelihoods))
 
     fit_fetch = fit
 

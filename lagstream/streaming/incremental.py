@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lagstream.operators import counts as _counts
+from lagstream.operators.lag import later
 from lagstream.operators.moments import Moments, moments
 
 
 def _tail(df: DataFrame, lag: int) -> DataFrame:
-    last = Window.partitionBy("traj_id").orderBy(F.col("t").desc())
-    return df.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= lag).drop("_k")
+    """Frames that one to come can still pair with: those of the last lag times of each trajectory."""
+    return df.withColumn("_top", F.max("t").over(Window.partitionBy("traj_id"))).where(F.col("t") > F.col("_top") - lag).drop("_top")
 
 
 class _State:
@@ -55,9 +56,7 @@ class StreamingCounts:
         new = batch.select("traj_id", "t", "state", F.lit(True).alias("new"))
         tail = self.state.before("tail", batch_id)
         every = new if tail is None else new.unionByName(tail.withColumn("new", F.lit(False)))
-        at = Window.partitionBy("traj_id").orderBy("t")
-        later = F.lead(F.struct("state", "new"), self.lag).over(at)
-        pairs = every.withColumn("y", later).where("y.new and state >= 0 and y.state >= 0").select(F.col("state").alias("i"), F.col("y.state").alias("j"))
+        pairs = every.withColumn("y", later(F.struct("state", "new"), self.lag)).where("y.new and state >= 0 and y.state >= 0").select(F.col("state").alias("i"), F.col("y.state").alias("j"))
         counts = pairs.groupBy("i", "j").agg(F.count("*").cast("double").alias("v"))
         old = self.state.before("counts", batch_id)
         if old is not None:
@@ -87,8 +86,7 @@ class StreamingMoments:
             tail = self.state.before("tail", batch_id)
             every = batch.select("traj_id", "t", "x", F.lit(True).alias("new"))
             every = every if tail is None else every.unionByName(tail.withColumn("new", F.lit(False)))
-            at = Window.partitionBy("traj_id").orderBy("t")
-            pairs = every.withColumn("y", F.lead(F.struct("x", "new"), self.lag).over(at)).where("y.new").withColumn("y", F.col("y.x"))
+            pairs = every.withColumn("y", later(F.struct("x", "new"), self.lag)).where("y.new").withColumn("y", F.col("y.x"))
             self.state.put("tail", batch_id, _tail(every.drop("new"), self.lag))
         total = None if pairs.isEmpty() else moments(pairs)
         old = self.state.before("moments", batch_id)

@@ -170,8 +170,6 @@ def test_simulators():
     ou = simulate.ornstein_uhlenbeck(1e-2, 100).trajectory(np.zeros((400, 1)), 4, seed=1)[:, -1]
     assert abs(ou.var() - 0.125) < 0.03
     assert (simulate.double_well_2d(n_steps=10)(np.zeros((3, 2)), seed=1) == simulate.double_well_2d(n_steps=10)(np.zeros((3, 2)), seed=1)).all()
-    w = simulate.DrunkardsWalk((3, 3), (0, 0), (2, 2))
-    assert np.allclose(w.transition_matrix.sum(1), 1) and w.walk((1, 1), 100)[-1] in (0, 8)
     assert simulate.swissroll_model(50)[1].shape == (50, 3)
     jet = simulate.bickley_jet().trajectory([[1.0, 0.5]], 3)
     assert jet.shape == (1, 3, 2) and (jet[..., 0] < 20).all()
@@ -192,3 +190,21 @@ def test_oom_and_augmented():
     assert np.allclose(np.sort(values), np.sort(analysis.eigenvalues(t))[-len(values):], atol=1e-6)
     got, states = msm.equilibrium_transition_matrix(xi, omega, sigma)
     assert np.allclose(got, t, atol=1e-6)
+
+
+def test_drunkards_walk():
+    w = simulate.DrunkardsWalk((7, 8), (0, 0), (6, 7))
+    assert w.transition_matrix.shape == (56, 56) and np.allclose(w.transition_matrix.sum(1), 1)
+    assert w.bar_state == [0] and w.home_state == [6 + 7 * 7] and w.n_states == 56 and w.grid_size == (7, 8)
+    assert all(w.state_to_coordinate(w.coordinate_to_state((i, j))) == (i, j) for i in range(7) for j in range(8))
+    assert tuple(w.walk((3, 3), 100_000)[-1]) in ((0, 0), (6, 7)) and len(w.walk((3, 3), 500, stop=False)) == 500
+    assert np.isclose(w.transition_matrix[w.coordinate_to_state((3, 3))].max(), 1 / 8) and np.isclose(w.transition_matrix[0, 0], 100 / 103)
+    g = simulate.DrunkardsWalk((10, 10), (0, 0), (9, 9))
+    g.add_barrier((0, 9), (5, 8))
+    g.add_barrier((5, 0), (5, 4))
+    g.add_barrier((2, 2), (3, 2), 5.0)
+    assert all((5, y) in g.barriers for y in range(5)) and np.allclose(g.transition_matrix.sum(1), 1) and (g.transition_matrix >= 0).all()
+    step = g.transition_matrix[g.coordinate_to_state((2, 3))]
+    assert np.isclose(step[g.coordinate_to_state((2, 2))] * 5, step[g.coordinate_to_state((1, 3))])  # five times slower
+    assert step[g.coordinate_to_state((5, 1))] == 0 and g.transition_matrix[g.coordinate_to_state((6, 1)), g.coordinate_to_state((5, 1))] == 0
+    assert simulate.DrunkardsWalk.line((0, 0), (2, 2)) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)]

@@ -219,6 +219,14 @@ def test_multi_ensemble(spark):
     assert np.ptp(m.therm_state_energies) < 0.3 and np.allclose(m.transition_matrices[0].sum(1)[data.state_counts[0] > 0], 1)
     assert np.isclose(np.exp([r["log_w"] for r in m.sample_weights_log(df).collect()]).sum(), 1)
     assert np.isfinite(m.compute_log_likelihood(data)) and np.isfinite(m.compute_observable(df, "value"))
+    tracked = tram.TRAM(maxiter=6, maxerr=0, init_strategy=None, track_log_likelihoods=True, callback_interval=2)
+    calls = []
+    last = tracked.fit(data, callback=lambda n, change: calls.append((n, change)))
+    assert len(tracked.log_likelihoods) == len(tracked.energy_increments) == len(calls) == 3 and min(tracked.energy_increments) > 0
+    assert np.isclose(tracked.log_likelihoods[-1], last.compute_log_likelihood(data)) and tracked.log_likelihoods[-1] > tracked.log_likelihoods[0]
+    plain = tram.TRAM(maxiter=4, maxerr=0, init_strategy=None, callback_interval=2)
+    plain.fit(data)
+    assert plain.log_likelihoods == [-np.inf] * 2
     assert data.restrict_to_largest_connected_set("post_hoc_RE").n_markov >= 4
     assert len(tram.overlaps(df, "BAR_variance")) > 0
     df.unpersist()
