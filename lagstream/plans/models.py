@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstream.functions import basis
-from lagstream.operators import clustering, counts, decomposition, hmm, lag, moments, msm, states
+from lagstream.operators import clustering, counts, decomposition, lag, moments, msm, states
 from lagstream.sources import trajectories as tr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,43 +28,11 @@ def _msm(spark, sf):
     return msm.MaximumLikelihoodMSM().fit(tr.events_dtraj(spark, sf), 1)
 
 
-@query
-def effective_counts(spark, sf):
-    return counts.effective_count_matrix(tr.events_dtraj(spark, sf), 2)
-
-
-@query
-def statistical_inefficiencies(spark, sf):
-    return counts.statistical_inefficiencies(tr.events_dtraj(spark, sf), 1)
-
-
-@query
-def msm_stationary_distribution(spark, sf):
-    return _vector(spark, _msm(spark, sf).stationary_distribution, "pi")
-
-
 @query
 def msm_timescales(spark, sf):
     return _vector(spark, _msm(spark, sf).timescales())
 
 
-@query
-def msm_mfpt(spark, sf):
-    m = _msm(spark, sf)
-    return spark.createDataFrame([(a, b, m.mfpt([a], [b])) for a in range(m.n_states) for b in range(m.n_states) if a != b], "a long, b long, mfpt double")
-
-
-@query
-def msm_committor(spark, sf):
-    return _vector(spark, _msm(spark, sf).committor_forward([0], [4]))
-
-
-@query
-def msm_reactive_flux(spark, sf):
-    f = _msm(spark, sf).reactive_flux([0], [4]).net_flux
-    return spark.createDataFrame([(int(i), int(j), float(f[i, j])) for i, j in zip(*np.nonzero(f))], "i long, j long, f double")
-
-
 @query
 def msm_pcca(spark, sf):
     chi = _msm(spark, sf).pcca(2).memberships
@@ -119,15 +87,9 @@ def koopman_weights(spark, sf):
     return m.weights(tr.lineitem_x(spark, sf)).select("traj_id", "t", "w")
 
 
-@query
-def kmeans(spark, sf):
-    m = clustering.KMeans(4, max_iter=10, tolerance=1e-3, seed=3).fit(tr.embeddings_x(spark, sf))
-    return m.transform(tr.embeddings_x(spark, sf)).select("traj_id", "t", "state")
-
-
 @query
 def mini_batch_kmeans(spark, sf):
-    m = clustering.MiniBatchKMeans(3, batch_size=1 << 30, max_iter=2, seed=3).fit(tr.embeddings_x(spark, sf))
+    m = clustering.MiniBatchKMeans(3, batch_size=100, max_iter=2, seed=3).fit(tr.embeddings_x(spark, sf))
     return m.transform(tr.embeddings_x(spark, sf)).select("traj_id", "t", "state")
 
 
@@ -137,29 +99,6 @@ def regular_space(spark, sf):
     return _vector(spark, np.sort(clustering.RegularSpace(9.0).fit(df).cluster_centers[:, 0]))
 
 
-def _hmm(spark, sf):
-    d = tr.events_dtraj(spark, sf)
-    return d, hmm.MaximumLikelihoodHMM(hmm.random_guess(5, 2, 1), 1, maxit=3).fit(d)
-
-
-@query
-def hmm_viterbi(spark, sf):
-    d, m = _hmm(spark, sf)
-    return m.viterbi_paths(d)
-
-
-@query
-def hmm_state_probabilities(spark, sf):
-    d, m = _hmm(spark, sf)
-    return m.state_probability_table(d)
-
-
-@query
-def hmm_output_probabilities(spark, sf):
-    p = _hmm(spark, sf)[1].output_probabilities
-    return spark.createDataFrame([(i, k, float(v)) for i, r in enumerate(p) for k, v in enumerate(r)], "hidden long, symbol long, p double")
-
-
 @query
 def frames_by_state(spark, sf):
     return states.sample_by_state(tr.events_dtraj(spark, sf), 10, seed=5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with QUERIES (name to function of spark and sf_dir) and SQL (name to text).
-MODULES: tuple[str, ...] = ("series", "models")
+MODULES: tuple[str, ...] = ("series", "models", "algebra")
 
 
 def _gather(name: str) -> dict:

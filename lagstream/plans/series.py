@@ -108,13 +108,6 @@ def log_likelihood(spark, sf):
     return c.join(counts.transition_matrix_sql(c), ["i", "j"]).agg(F.round(F.sum(F.col("v") * F.log("p")), 4).alias("ll"))
 
 
-@query("reversibility_gap", f"WITH {EVENTS}, {_pairs(1)}, c AS (SELECT i, j, count(*)::DOUBLE v FROM pr WHERE j IS NOT NULL GROUP BY i, j) SELECT max(abs(a.v - coalesce(b.v, 0))) gap FROM c a LEFT JOIN c b ON a.i = b.j AND a.j = b.i")
-def reversibility_gap(spark, sf):
-    c = counts.count_matrix(tr.events_dtraj(spark, sf), 1)
-    other = c.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("w"))
-    return c.join(other, ["i", "j"], "left").agg(F.max(F.abs(F.col("v") - F.coalesce("w", F.lit(0.0)))).alias("gap"))
-
-
 @query("lag_pairs", f"WITH {ORDERS}, p AS (SELECT traj_id, t, value x, lead(value, 2) OVER (PARTITION BY traj_id ORDER BY t) y FROM dt) SELECT traj_id, t, x, y FROM p WHERE y IS NOT NULL")
 def lag_pairs(spark, sf):
     return lag.lag_pairs(tr.orders_value(spark, sf), 2).select("traj_id", "t", F.col("x")[0].alias("x"), F.col("y")[0].alias("y"))
@@ -276,13 +269,6 @@ def fragments(spark, sf):
     return lag.fragments(d).groupBy("source_id").agg(F.count_distinct("traj_id").alias("n"))
 
 
-@query("pmf_bins", f"WITH {EVENTS}, b AS (SELECT least(floor(value / 25), 7) b, count(*)::DOUBLE n FROM dt GROUP BY 1), s AS (SELECT b, -ln(n / sum(n) OVER ()) e FROM b) SELECT b::BIGINT b, round(e - min(e) OVER (), 8) e FROM s")
-def pmf_bins(spark, sf):
-    v = tr.events_value(spark, sf).select(F.least(F.floor(F.col("x")[0] / 25), F.lit(7)).cast("long").alias("b"))
-    n = v.groupBy("b").agg(F.count("*").alias("n")).withColumn("e", -F.log(F.col("n") / F.sum("n").over(Window.partitionBy())))
-    return n.select("b", F.round(F.col("e") - F.min("e").over(Window.partitionBy()), 8).alias("e"))
-
-
 @query("stationary_expected_counts", f"WITH {EVENTS}, {_pairs(1)}, c AS (SELECT i, j, count(*)::DOUBLE v FROM pr WHERE j IS NOT NULL GROUP BY i, j), s AS (SELECT a.i, a.j, a.v + coalesce(b.v, 0) x FROM c a LEFT JOIN c b ON a.i = b.j AND a.j = b.i) SELECT i::BIGINT i, j::BIGINT j, round(100 * x / sum(x) OVER (), 8) v FROM s")
 def expected_counts(spark, sf):
     from lagstream.functions import analysis
@@ -293,21 +279,3 @@ def expected_counts(spark, sf):
     e = analysis.expected_counts_stationary(t, 100, x.sum(1) / x.sum())
     rows = [(i, j, float(e[i, j])) for i in range(5) for j in range(5) if c[i, j] > 0]
     return spark.createDataFrame(rows, "i long, j long, v double").withColumn("v", F.round("v", 8))
-
-
-_FLUX = """
-WITH v(i, j, g) AS (VALUES (0, 1, 0.3), (0, 2, 0.2), (1, 2, 0.1), (1, 3, 0.2), (2, 3, 0.3), (2, 1, 0.05)),
-e AS (SELECT i, j, g::DOUBLE f FROM v),
-n AS (SELECT a.i, a.j, greatest(a.f - coalesce(b.f, 0), 0) f FROM e a LEFT JOIN e b ON a.i = b.j AND a.j = b.i)
-"""
-
-
-@query("net_flux_production", _FLUX + "SELECT s::BIGINT s, round(coalesce((SELECT sum(f) FROM n WHERE i = s), 0) - coalesce((SELECT sum(f) FROM n WHERE j = s), 0), 10) p FROM (SELECT unnest([0, 1, 2, 3]) s)")
-def net_flux(spark, sf):
-    from lagstream.functions import flux
-
-    f = np.zeros((4, 4))
-    for i, j, v in ((0, 1, 0.3), (0, 2, 0.2), (1, 2, 0.1), (1, 3, 0.2), (2, 3, 0.3), (2, 1, 0.05)):
-        f[i, j] = v
-    p = flux.flux_production(flux.to_netflux(f))
-    return spark.createDataFrame([(i, float(round(v, 10) + 0.0)) for i, v in enumerate(p)], "s long, p double")
