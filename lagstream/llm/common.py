@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: ContextVar[list[Stages] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[Stages]]:
+    """Lists the Stages made within, which can be cleared once the rows that read them have been written."""
+    made: list[Stages] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 class Stages:
     """Tables written once in the shared folder, so that a lost executor costs no lineage.
 
     put() writes a DataFrame and returns it reread; drop() deletes the tables that no later
-    plan reads; finish() deletes all but those that a returned DataFrame, which is lazy, reads.
+    plan reads; finish() deletes all but those that a returned DataFrame, which is lazy, reads;
+    clear() deletes the rest.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
         self.live: set[str] = set()
+        made = _MADE.get()
+        if made is not None:
+            made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -57,6 +78,13 @@ class Stages:
         for table in tables:
             self._delete(table._staged)
 
+    def delete(self, paths: set[str]) -> None:
+        for path in paths:
+            self._delete(path)
+
+    def clear(self) -> None:
+        self.delete(set(self.live))
+
     def finish(self, result: DataFrame) -> DataFrame:
         """result, after the staged tables that it does not read are deleted."""
         plan = result._jdf.queryExecution().optimizedPlan().collectLeaves()
