@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstream.llm import langid, minhash, mixing, pii
-from lagstream.llm.common import Stages, read_table
+from lagstream.llm.common import Stages, collected, read_table
 from lagstream.llm.decontam import contamination
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -74,9 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. Once a stage's rows are written, those of the stage before and the tables that
+    its operator staged are deleted, so the shared folder holds two stages' rows at most."""
     stages = Stages(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stages.put(stage(spark, docs, sf_dir), name)
+        earlier = set(stages.live)
+        with collected() as made:
+            docs = stages.put(stage(spark, docs, sf_dir), name)
+        for own in made:
+            own.clear()
+        stages.delete(earlier)
     return docs
