@@ -64,3 +64,16 @@ def test_stages_take_edge_rows(spark):
         assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
         assert out.count() >= 0
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_run_leaves_its_last_stage_only(spark):
+    from pathlib import Path
+
+    from lagstream.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p for p in folder.rglob("_SUCCESS")}
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() > 0 and out.columns[:5] == corpus_pipeline.COLUMNS
+    left = {p.parent.name for p in folder.rglob("_SUCCESS")} - {p.parent.name for p in before}
+    assert left == {f"00{len(corpus_pipeline.STAGES)}-source_mixing"}
