@@ -1,4 +1,8 @@
-"""Hidden Markov models: recursions per trajectory in grouped tasks, updates on the driver from grouped sums."""
+"""Hidden Markov models: recursions in grouped tasks, updates on the driver from grouped sums.
+
+Likelihoods, posteriors and Baum-Welch run by blocks of time, tied by the products of their steps; most likely and
+sampled paths run a whole trajectory in one task.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,9 @@ from lagstream.operators import states as _states
 from lagstream.operators import validation
 from lagstream.operators.msm import MarkovStateModel, MaximumLikelihoodMSM
 
+#: Time steps of one trajectory that one task runs a recursion over.
+BLOCK = 100_000
+
 # --- recursions on one trajectory
 
 
@@ -35,9 +42,10 @@ def forward(a: np.ndarray, b: np.ndarray, p0: np.ndarray) -> tuple[float, np.nda
     return float(total), alpha
 
 
-def backward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def backward(a: np.ndarray, b: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Scaled backward variables; last are those of the last frame, even ones if nothing follows."""
     beta = np.empty_like(b)
-    beta[-1] = 1 / b.shape[1]
+    beta[-1] = 1 / b.shape[1] if last is None else last
     for t in range(len(b) - 2, -1, -1):
         x = a @ (b[t + 1] * beta[t + 1])
         s = x.sum()
@@ -45,6 +53,29 @@ def backward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return beta
 
 
+def block_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of a block's steps, from the state of its first frame to that of its last, scaled to a sum of one."""
+    m = np.diag(b[0])
+    for t in range(len(b)):
+        m = (m @ a) * b[t] if t else m
+        s = m.sum()
+        m = m / s if s > 0 else m
+    return m
+
+
+def link_blocks(a: np.ndarray, p0: np.ndarray, products: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of a trajectory: the distribution it starts from, the forward variables before it (empty for
+    the first) and the backward variables of its last frame."""
+    scaled = lambda x: x / x.sum() if x.sum() > 0 else x
+    enter, before, leave = [p0], [np.empty(0)], [np.full(len(a), 1 / len(a))]
+    for m in products[:-1]:
+        before.append(scaled(enter[-1] @ m))
+        enter.append(before[-1] @ a)
+    for m in products[:0:-1]:
+        leave.append(scaled(a @ (m @ leave[-1])))
+    return list(zip(enter, before, leave[::-1]))
+
+
 def state_probabilities(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     g = alpha * beta
     s = g.sum(1, keepdims=True)
@@ -185,6 +216,15 @@ class GaussianOutputModel:
 # --- model
 
 
+def _block():
+    return F.floor(F.col("t") / BLOCK).cast("long")
+
+
+def spans_blocks(df: DataFrame) -> bool:
+    """Whether any trajectory has frames in more than one block of time."""
+    return not df.groupBy("traj_id").agg(F.min(_block()).alias("lo"), F.max(_block()).alias("hi")).where("lo < hi").isEmpty()
+
+
 @dataclass
 class HiddenMarkovModel:
     transition_model: MarkovStateModel
@@ -232,18 +272,50 @@ class HiddenMarkovModel:
 
     compute_viterbi_paths = viterbi_paths
 
+    def _by_block(self, df: DataFrame, run: Callable, schema: str, split: bool | None = None) -> DataFrame:
+        """run(part, a, b, enter, before, leave) on each block of a trajectory, with what link_blocks() says of it."""
+        a, p0, output = self.transition_matrix, self.initial_distribution, self.output_model
+        n = len(a)
+
+        if not (spans_blocks(df) if split is None else split):
+            ((enter, before, leave),) = link_blocks(a, p0, [np.eye(n)])
+            return self._by_trajectory(df, lambda part, a, b, p0: run(part, a, b, enter, before, leave), schema)
+
+        def emitted(part: pd.DataFrame) -> np.ndarray:
+            return output.probabilities(part[output.column].to_numpy())
+
+        def product(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("t")
+            return pd.DataFrame({"traj_id": part["traj_id"].iloc[:1], "block": part["block"].iloc[:1], "m": [block_product(a, emitted(part)).ravel()]})
+
+        def link(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("block")
+            ends = pd.DataFrame(link_blocks(a, p0, [np.reshape(m, (n, n)) for m in part["m"]]), columns=["enter", "before", "leave"])
+            return part[["traj_id", "block"]].reset_index(drop=True).join(ends)
+
+        def one(part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("t")
+            return run(part, a, emitted(part), *(np.asarray(ends[c].iloc[0], float) for c in ("enter", "before", "leave")))
+
+        key = ["traj_id", "block"]
+        frames = df.select("traj_id", _block().alias("block"), "t", output.column)
+        products = frames.groupBy(key).applyInPandas(product, "traj_id long, block long, m array<double>")
+        ends = products.groupBy("traj_id").applyInPandas(link, "traj_id long, block long, enter array<double>, before array<double>, leave array<double>")
+        return frames.groupBy(key).cogroup(ends.groupBy(key)).applyInPandas(one, schema)
+
     def state_probability_table(self, df: DataFrame) -> DataFrame:
-        def run(part, a, b, p0):
-            _, alpha = forward(a, b, p0)
-            return pd.DataFrame({"traj_id": part["traj_id"].to_numpy(), "t": part["t"].to_numpy(), "gamma": list(state_probabilities(alpha, backward(a, b)))})
+        """(traj_id, t, gamma): probabilities of the hidden states given the whole trajectory."""
+        def run(part, a, b, enter, before, leave):
+            gamma = state_probabilities(forward(a, b, enter)[1], backward(a, b, leave))
+            return pd.DataFrame({"traj_id": part["traj_id"].to_numpy(), "t": part["t"].to_numpy(), "gamma": list(gamma)})
 
-        return self._by_trajectory(df, run, "traj_id long, t long, gamma array<double>")
+        return self._by_block(df, run, "traj_id long, t long, gamma array<double>")
 
     def compute_observation_likelihood(self, df: DataFrame) -> float:
-        def run(part, a, b, p0):
-            return pd.DataFrame({"ll": [forward(a, b, p0)[0]]})
+        def run(part, a, b, enter, before, leave):
+            return pd.DataFrame({"ll": [forward(a, b, enter)[0]]})
 
-        return float(self._by_trajectory(df, run, "ll double").agg(F.sum("ll")).first()[0])
+        return float(self._by_block(df, run, "ll double").agg(F.sum("ll")).first()[0])
 
     def collect_observations_in_state(self, df: DataFrame, state: int) -> DataFrame:
         return _states.observations_in_state(self.viterbi_paths(df), df, state)
@@ -339,25 +411,29 @@ class HiddenMarkovModel:
 
 
 class MaximumLikelihoodHMM:
-    """Baum-Welch: each round is one grouped pass over the trajectories and a sum of its statistics."""
+    """Baum-Welch: each round is a grouped pass over the trajectories, or their blocks, and a sum of its statistics."""
 
     def __init__(self, initial_model: HiddenMarkovModel, lagtime: int, stride: int | str = 1, reversible: bool = True, stationary: bool = False, p0=None, accuracy: float = 1e-3, maxit: int = 1000):
         self.initial_model, self.lagtime, self.stride = initial_model, lagtime, stride
         self.reversible, self.stationary, self.p0, self.accuracy, self.maxit = reversible, stationary, p0, accuracy, maxit
 
-    def expectation(self, model: HiddenMarkovModel, df: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    def expectation(self, model: HiddenMarkovModel, df: DataFrame, split: bool | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Log-likelihood, first-frame probabilities, hidden counts and emission statistics."""
         output = model.output_model
 
-        def run(part, a, b, p0):
-            ll, alpha = forward(a, b, p0)
-            beta = backward(a, b)
+        def run(part, a, b, enter, before, leave):
+            ll, alpha = forward(a, b, enter)
+            beta = backward(a, b, leave)
             gamma = state_probabilities(alpha, beta)
-            flat = np.concatenate([[ll], gamma[0], transition_counts(a, b, alpha, beta).ravel(), output.statistics(part[output.column].to_numpy(), gamma).ravel()])
+            c, first = transition_counts(a, b, alpha, beta), gamma[0]
+            if len(before):  # the step into this block, which is not the trajectory's first
+                x, first = before[:, None] * a * (b[0] * beta[0])[None, :], np.zeros(len(a))
+                c += x / x.sum() if x.sum() > 0 else 0
+            flat = np.concatenate([[ll], first, c.ravel(), output.statistics(part[output.column].to_numpy(), gamma).ravel()])
             return pd.DataFrame({"k": np.arange(len(flat)), "v": flat})
 
         # sums by position: (states + symbols) * states rows come to the driver
-        rows = model._by_trajectory(df, run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+        rows = model._by_block(df, run, "k int, v double", split).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
         v, n = np.array([r["v"] for r in rows]), model.n_hidden_states
         return v[0], v[1:1 + n], v[1 + n:1 + n + n * n].reshape(n, n), v[1 + n + n * n:].reshape(n, -1)
 
@@ -370,8 +446,9 @@ class MaximumLikelihoodHMM:
         df = df.persist()
         history: list[float] = []
         try:
+            split = spans_blocks(df)
             for _ in range(self.maxit):
-                ll, first, c, stats = self.expectation(model, df)
+                ll, first, c, stats = self.expectation(model, df, split)
                 history.append(ll)
                 pattern = model.transition_matrix > 0
                 t = estimation.estimate_p(c, self.reversible)

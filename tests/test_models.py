@@ -186,6 +186,24 @@ def test_hidden_markov_recursions(spark):
     assert np.allclose(gamma, joint / joint.sum(1, keepdims=True))
 
 
+def test_hidden_markov_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3)
+    m = hmm.HiddenMarkovModel(msm.MarkovStateModel(a), hmm.DiscreteOutputModel(b), np.array([0.2, 0.5, 0.3]))
+    # frames 40 to 59 of the second are missing, so some blocks are empty and others cut
+    df = tr.from_numpy(spark, [rng.integers(0, 4, n) for n in (101, 90, 3, 1)]).where("traj_id <> 1 or t < 40 or t >= 60").persist()
+    em, results = hmm.MaximumLikelihoodHMM(m, 1), []
+    for block in (1000, 7, 1):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        assert hmm.spans_blocks(df) == (block < 101)
+        table = m.state_probability_table(df).orderBy("traj_id", "t").toPandas()
+        results.append((table[["traj_id", "t"]].to_numpy(), np.stack(table["gamma"]), m.compute_observation_likelihood(df), *em.expectation(m, df)))
+    for other in results[1:]:
+        assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(results[0], other))
+    assert np.isclose(results[0][4].sum(), 4) and np.isclose(results[0][5].sum(), 101 + 70 + 3 + 1 - 4)
+    df.unpersist()
+
+
 def test_hidden_markov_fit(spark):
     a, b = np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[0.9, 0.1, 0], [0, 0.2, 0.8]])
     true = hmm.HiddenMarkovModel(msm.MarkovStateModel(a), hmm.DiscreteOutputModel(b))
