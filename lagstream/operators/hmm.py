@@ -1,6 +1,6 @@
 """Hidden Markov models: recursions in grouped tasks, updates on the driver from grouped sums.
 
-Likelihoods, posteriors and Baum-Welch run by blocks of time, tied by the products of their steps; most likely and
+Likelihoods, posteriors, Baum-Welch and most likely paths run by blocks of time, tied by the products of their steps;
 sampled paths run a whole trajectory in one task.
 """
 
@@ -92,8 +92,34 @@ def transition_counts(a, b, alpha, beta) -> np.ndarray:
     return out
 
 
-def viterbi(a: np.ndarray, b: np.ndarray, p0: np.ndarray) -> np.ndarray:
-    """Most likely hidden path; probabilities are normalised at each step, ties take the first."""
+def best_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The likeliest path's weight from each state of a block's first frame to each of its last, scaled to a maximum of one."""
+    m = np.diag(b[0])
+    for t in range(len(b)):
+        m = (m[:, :, None] * a).max(1) * b[t] if t else m
+        s = m.max()
+        m = m / s if s > 0 else m
+    return m
+
+
+def link_paths(a: np.ndarray, p0: np.ndarray, products: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of a trajectory: the most likely path's states of its first and last frame, one-hot (before is empty)."""
+    one, starts, ends = np.eye(len(a)), [p0], []
+    for m in products:
+        v = (starts[-1][:, None] * m).max(0)
+        ends.append(v / v.max() if v.max() > 0 else v)
+        starts.append((ends[-1][:, None] * a).max(0))
+    out, last = [], int(ends[-1].argmax())
+    for c in range(len(products) - 1, -1, -1):
+        first = int((starts[c] * products[c][:, last]).argmax())
+        out.append((one[first], np.empty(0), one[last]))
+        if c:
+            last = int((ends[c - 1] * a[:, first]).argmax())
+    return out[::-1]
+
+
+def viterbi(a: np.ndarray, b: np.ndarray, p0: np.ndarray, last: int | None = None) -> np.ndarray:
+    """Most likely hidden path, to the state last if given; probabilities are normalised at each step, ties take the first."""
     n = len(b)
     back = np.zeros((n, len(a)), int)
     v = p0 * b[0]
@@ -104,7 +130,7 @@ def viterbi(a: np.ndarray, b: np.ndarray, p0: np.ndarray) -> np.ndarray:
         v = x.max(0) * b[t]
         v = v / max(v.sum(), 1e-300)
     path = np.zeros(n, int)
-    path[-1] = int(v.argmax())
+    path[-1] = int(v.argmax()) if last is None else last
     for t in range(n - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
     return path
@@ -264,21 +290,26 @@ class HiddenMarkovModel:
         return df.select("traj_id", "t", output.column).groupBy("traj_id").applyInPandas(one, schema)
 
     def viterbi_paths(self, df: DataFrame) -> DataFrame:
-        """(traj_id, t, state): most likely hidden states of each trajectory."""
-        def run(part, a, b, p0):
-            return pd.DataFrame({"traj_id": part["traj_id"].to_numpy(), "t": part["t"].to_numpy(), "state": viterbi(a, b, p0)})
+        """(traj_id, t, state): most likely hidden states of each trajectory. Of paths that are equally likely, one that
+        is cut into blocks may take another than one that is not."""
+        def table(part, path):
+            return pd.DataFrame({"traj_id": part["traj_id"].to_numpy(), "t": part["t"].to_numpy(), "state": path})
 
-        return self._by_trajectory(df, run, "traj_id long, t long, state int")
+        schema = "traj_id long, t long, state int"
+        if not spans_blocks(df):
+            return self._by_trajectory(df, lambda part, a, b, p0: table(part, viterbi(a, b, p0)), schema)
+        run = lambda part, a, b, first, _, last: table(part, viterbi(a, b, first, int(last.argmax())))
+        return self._by_block(df, run, schema, True, best_product, link_paths)
 
     compute_viterbi_paths = viterbi_paths
 
-    def _by_block(self, df: DataFrame, run: Callable, schema: str, split: bool | None = None) -> DataFrame:
-        """run(part, a, b, enter, before, leave) on each block of a trajectory, with what link_blocks() says of it."""
+    def _by_block(self, df: DataFrame, run: Callable, schema: str, split: bool | None = None, multiply: Callable = block_product, tie: Callable = link_blocks) -> DataFrame:
+        """run(part, a, b, enter, before, leave) on each block of a trajectory, with what tie() says of it."""
         a, p0, output = self.transition_matrix, self.initial_distribution, self.output_model
         n = len(a)
 
         if not (spans_blocks(df) if split is None else split):
-            ((enter, before, leave),) = link_blocks(a, p0, [np.eye(n)])
+            ((enter, before, leave),) = tie(a, p0, [np.eye(n)])
             return self._by_trajectory(df, lambda part, a, b, p0: run(part, a, b, enter, before, leave), schema)
 
         def emitted(part: pd.DataFrame) -> np.ndarray:
@@ -286,11 +317,11 @@ class HiddenMarkovModel:
 
         def product(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("t")
-            return pd.DataFrame({"traj_id": part["traj_id"].iloc[:1], "block": part["block"].iloc[:1], "m": [block_product(a, emitted(part)).ravel()]})
+            return pd.DataFrame({"traj_id": part["traj_id"].iloc[:1], "block": part["block"].iloc[:1], "m": [multiply(a, emitted(part)).ravel()]})
 
         def link(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("block")
-            ends = pd.DataFrame(link_blocks(a, p0, [np.reshape(m, (n, n)) for m in part["m"]]), columns=["enter", "before", "leave"])
+            ends = pd.DataFrame(tie(a, p0, [np.reshape(m, (n, n)) for m in part["m"]]), columns=["enter", "before", "leave"])
             return part[["traj_id", "block"]].reset_index(drop=True).join(ends)
 
         def one(part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:

@@ -208,3 +208,7 @@ def test_drunkards_walk():
     assert np.isclose(step[g.coordinate_to_state((2, 2))] * 5, step[g.coordinate_to_state((1, 3))])  # five times slower
     assert step[g.coordinate_to_state((5, 1))] == 0 and g.transition_matrix[g.coordinate_to_state((6, 1)), g.coordinate_to_state((5, 1))] == 0
     assert simulate.DrunkardsWalk.line((0, 0), (2, 2)) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)]
+
+
+def test_has_path_needs_both_ends():
+    assert flux.has_path([0, 1, 4], [0, 2], [4]) and not flux.has_path([0, 1], [0], [4]) and not flux.has_path([], [0], [4])

@@ -197,10 +197,11 @@ def test_hidden_markov_blocks(spark, monkeypatch):
         monkeypatch.setattr(hmm, "BLOCK", block)
         assert hmm.spans_blocks(df) == (block < 101)
         table = m.state_probability_table(df).orderBy("traj_id", "t").toPandas()
-        results.append((table[["traj_id", "t"]].to_numpy(), np.stack(table["gamma"]), m.compute_observation_likelihood(df), *em.expectation(m, df)))
+        paths = m.viterbi_paths(df).orderBy("traj_id", "t").toPandas()
+        results.append((table[["traj_id", "t"]].to_numpy(), paths.to_numpy(), np.stack(table["gamma"]), m.compute_observation_likelihood(df), *em.expectation(m, df)))
     for other in results[1:]:
         assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(results[0], other))
-    assert np.isclose(results[0][4].sum(), 4) and np.isclose(results[0][5].sum(), 101 + 70 + 3 + 1 - 4)
+    assert np.isclose(results[0][5].sum(), 4) and np.isclose(results[0][6].sum(), 101 + 70 + 3 + 1 - 4)
     df.unpersist()
 
 
