@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: Distances (frames, centres) -> matrix by name.
 METRICS: dict[str, Callable] = {}
 
+#: Frames, about, that a task of MiniBatchKMeans reads.
+TASK_FRAMES = 20_000
+
 
 def register_metric(name: str, distance: Callable) -> None:
     METRICS[name] = distance
@@ -76,6 +80,16 @@ class KMeansModel(ClusterModel):
         return cost(df, self.cluster_centers, self.metric)
 
 
+def _partial(x: np.ndarray, centers: np.ndarray, distance: Callable, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums, sizes and cost as in _step, of a few frames."""
+    d = distance(x, centers)
+    a = d.argmin(1)
+    sums = np.zeros_like(centers)
+    np.add.at(sums, a, x)
+    total = (d[np.arange(len(x)), a] ** 2).sum() if new is None else sum((distance(x[a == k], new[k:k + 1]) ** 2).sum() for k in np.unique(a))
+    return sums, np.bincount(a, minlength=len(centers)).astype(float), float(total)
+
+
 def _step(df: DataFrame, centers: np.ndarray, metric: str, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Sums and sizes of the clusters, and the cost of the assignment against `new` centres (where given)."""
     distance, kept = METRICS[metric], df.sparkSession.sparkContext.broadcast((np.asarray(centers, float), new))
@@ -85,12 +99,8 @@ def _step(df: DataFrame, centers: np.ndarray, metric: str, new: np.ndarray | Non
         sums, sizes, total = np.zeros_like(old), np.zeros(len(old)), 0.0
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                x = _frames(batch.column(0).slice(lo, 4096))
-                d = distance(x, old)
-                a = d.argmin(1)
-                np.add.at(sums, a, x)
-                sizes += np.bincount(a, minlength=len(old))
-                total += float((d[np.arange(len(x)), a] ** 2).sum()) if other is None else float(sum((distance(x[a == k], other[k:k + 1]) ** 2).sum() for k in np.unique(a)))
+                own = _partial(_frames(batch.column(0).slice(lo, 4096)), old, distance, other)
+                sums, sizes, total = sums + own[0], sizes + own[1], total + own[2]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(old)), pa.int32()), pa.array(list(sums)), pa.array(sizes), pa.array([total] + [0.0] * (len(old) - 1))], names=["k", "s", "n", "c"])
 
     part = df.select("x").mapInArrow(scan, "k int, s array<double>, n double, c double")
@@ -106,7 +116,10 @@ def cost(df: DataFrame, centers: np.ndarray, metric: str = "euclidean") -> float
 
 def lloyd_step(df: DataFrame, centers: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Means of the clusters; an empty one keeps its centre."""
-    sums, sizes, _ = _step(df, centers, metric)
+    return _means(*_step(df, centers, metric)[:2], centers)
+
+
+def _means(sums: np.ndarray, sizes: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
 
 
@@ -173,7 +186,7 @@ class KMeans:
         inertias, before, converged = [], 0.0, False
         for _ in range(self.max_iter):
             sums, sizes, _ = _step(df, centers, self.metric)
-            new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
+            new = _means(sums, sizes, centers)
             now = _step(df, centers, self.metric, new)[2]
             centers = new
             inertias.append(now)
@@ -190,8 +203,35 @@ class KMeans:
     fit_fetch = fit
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, x) rows to one row for each run of frames of the same b, as bytes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            b, x = batch.column(0).slice(lo, 4096).to_numpy(), _frames(batch.column(1).slice(lo, 4096))
+            ends = np.flatnonzero(b[1:] != b[:-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(b[np.r_[0, ends]]), pa.array([v.tobytes() for v in np.split(x, ends)], pa.binary())], names=["b", "x"])
+
+
+def _total(frames: Iterator[bytes], centers: np.ndarray, distance: Callable) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums, sizes and cost of packed frames, a run in memory at a time."""
+    sums, sizes, total = np.zeros_like(centers), np.zeros(len(centers)), 0.0
+    for v in frames:
+        own = _partial(np.frombuffer(v).reshape(-1, centers.shape[1]), centers, distance)
+        sums, sizes, total = sums + own[0], sizes + own[1], total + own[2]
+    return sums, sizes, total
+
+
+def _still(before: float, now: float, tolerance: float) -> bool:
+    return bool(now == 0 or abs(now - before) / now <= tolerance)
+
+
 class MiniBatchKMeans(KMeans):
-    """Batches by a digest of the frame; each step replaces the centres by the batch means."""
+    """Batches by a digest of the frame; each step replaces the centres by the batch means.
+
+    A step needs the centres of the step before, so the batches of an epoch follow one another. Each epoch deals the
+    frames out once, in the order of the batches: many small batches to a partition, where one task makes their steps, or a
+    large batch over several partitions. A partition is read when its turn comes and never if the epoch has ended by
+    then; centres and costs come to the driver."""
 
     def __init__(self, n_clusters: int, batch_size: int = 100, max_iter: int = 5, metric: str = "euclidean", tolerance: float = 1e-5, init_strategy: str = "kmeans++", seed: int = 0):
         super().__init__(n_clusters, max_iter, metric, tolerance, init_strategy, seed)
@@ -202,19 +242,62 @@ class MiniBatchKMeans(KMeans):
         new = lloyd_step(df, old, self.metric)
         now, inertias = cost(df, new, self.metric), [] if self.model is None else self.model.inertias
         before = inertias[-1] if inertias else np.inf
-        self.model = KMeansModel(new, self.metric, now == 0 or abs(now - before) / now <= self.tolerance, [*inertias, now], self.tolerance)
+        self.model = KMeansModel(new, self.metric, _still(before, now, self.tolerance), [*inertias, now], self.tolerance)
         return self.model
 
     def fit(self, df: DataFrame, initial_centers: np.ndarray | None = None) -> KMeansModel:
-        self.model = KMeansModel(self.initial_centers(df) if initial_centers is None else np.asarray(initial_centers, float), self.metric)
-        batches = max(1, -(-df.count() // self.batch_size))
+        self.model = KMeansModel(self.initial_centers(df) if initial_centers is None else np.asarray(initial_centers, float), self.metric, tolerance=self.tolerance)
+        n = df.count()
         for epoch in range(self.max_iter):
-            for b in range(batches):
-                batch = df.where(F.pmod(F.xxhash64(F.lit(self.seed + epoch), "traj_id", "t"), F.lit(batches)) == b)
-                if not batch.isEmpty() and self.partial_fit(batch).converged:
-                    break
+            self._epoch(df, n, self.seed + epoch)
         return self.model
 
+    def _epoch(self, df: DataFrame, n: int, seed: int) -> None:
+        """Steps over the batches of one shuffle, up to the first that converges."""
+        batches = max(1, -(-n // self.batch_size))
+        size = max(1, -(-n // batches))
+        run, shares = max(1, TASK_FRAMES // size), -(-size // TASK_FRAMES)  # batches a partition; partitions a batch
+        digest = F.xxhash64(F.lit(seed), "traj_id", "t")
+        b = F.pmod(digest, F.lit(batches))
+        part = F.floor(F.col("b") / run) * shares + F.pmod(F.xxhash64(F.lit(-1), "traj_id", "t"), F.lit(shares))
+        runs = -(-batches // run)
+        dealt = df.select(b.cast("long").alias("b"), "traj_id", "t", "x").repartitionById(runs * shares, part.cast("int")).sortWithinPartitions("b", "traj_id", "t")
+        packed = dealt.select("b", "x").mapInArrow(_pack, "b long, x binary").rdd
+        context, distance, tolerance, d = df.sparkSession.sparkContext, METRICS[self.metric], self.tolerance, self.model.cluster_centers.shape[1]
+
+        def steps(rows, centers, before):
+            """The centres after the batches of a partition, the costs, and whether the last converged."""
+            costs: list[float] = []
+            for _, own in groupby(rows, key=lambda r: r[0]):
+                x = np.concatenate([np.frombuffer(r[1]).reshape(-1, d) for r in own])
+                pieces = [x[lo:lo + 4096].tobytes() for lo in range(0, len(x), 4096)]
+                centers = _means(*_total(pieces, centers, distance)[:2], centers)
+                costs.append(_total(pieces, centers, distance)[2])
+                if _still(before, costs[-1], tolerance):
+                    return centers, costs, True
+                before = costs[-1]
+            return centers, costs, False
+
+        def share(at: list[int], centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            found = context.runJob(packed, lambda rows: [_total((r[1] for r in rows), centers, distance)], at)
+            return sum(f[0] for f in found), sum(f[1] for f in found), float(sum(f[2] for f in found))
+
+        for i in range(runs):
+            m = self.model
+            before = m.inertias[-1] if m.inertias else np.inf
+            if shares == 1:
+                centers, costs, done = context.runJob(packed, lambda rows, c=m.cluster_centers, v=before: [steps(rows, c, v)], [i])[0]
+            else:
+                at = list(range(i * shares, (i + 1) * shares))
+                sums, sizes, _ = share(at, m.cluster_centers)
+                centers = _means(sums, sizes, m.cluster_centers)
+                costs = [share(at, centers)[2]] if sizes.sum() else []
+                done = bool(costs) and _still(before, costs[0], tolerance)
+            m.inertias.extend(costs)
+            self.model = KMeansModel(centers, self.metric, done if costs else m.converged, m.inertias, self.tolerance)
+            if done:
+                break
+
 
 class RegularSpace:
     """Sequential leader clustering in the order of (traj_id, t): a frame farther than dmin from all centres becomes one.

@@ -275,3 +275,29 @@ def test_partial_reversible():
     assert np.allclose(p.sum(1), 1)
     q = estimation.transition_matrix_partial_rev(c, p, [np.array([0, 1])])
     assert np.allclose(q.sum(1), 1) and q[0, 2] > 0
+
+
+@pytest.mark.parametrize("size, task, jobs", [(20, 100, 60), (300, 60, 60)])
+def test_mini_batches_are_dealt_out_once(spark, monkeypatch, size, task, jobs):
+    """Steps as in NumPy, whether a task takes several batches or a part of one; no jobs over the whole table for each batch."""
+    monkeypatch.setattr(clustering, "TASK_FRAMES", task, raising=False)
+    x = np.random.default_rng(4).normal(size=(1500, 3))
+    df = tr.from_numpy(spark, [x[:900], x[900:]])
+    start, n, tolerance = x[:4], -(-len(x) // size), 2e-3
+    centers, costs, converged = start, [], False
+    for epoch in range(3):
+        rows = df.select(F.pmod(F.xxhash64(F.lit(5 + epoch), "traj_id", "t"), F.lit(n)).alias("b"), "x").toPandas()
+        for _, g in rows.groupby("b"):
+            v = np.stack(g["x"].to_numpy())
+            a = ((v[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+            centers = np.array([v[a == k].mean(0) if (a == k).any() else c for k, c in enumerate(centers)])
+            before, now = costs[-1] if costs else np.inf, ((v[:, None] - centers[None]) ** 2).sum(2).min(1).sum()
+            costs.append(now)
+            converged = abs(now - before) / now <= tolerance
+            if converged:
+                break
+    spark.sparkContext.setJobGroup(f"mini {size} {task}", "")
+    m = clustering.MiniBatchKMeans(4, size, 3, tolerance=tolerance, seed=5).fit(df, start)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(m.inertias, costs) and np.allclose(m.cluster_centers, centers) and m.converged == converged
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mini {size} {task}")) <= jobs
