@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -102,21 +104,38 @@ def moments(pairs: DataFrame, weight: str | None = None) -> Moments:
     return total
 
 
-def moments_sql(pairs: DataFrame) -> DataFrame:
-    """Raw moments as a long table (block, p, q, v): means (q = -1) and second moments, in DataFrame functions."""
+def moments_sql(pairs: DataFrame, blocks: Sequence[str] | None = None, dim: int | None = None) -> DataFrame:
+    """Raw moments as a long table (block, p, q, v): means (q = -1) and second moments, in DataFrame functions.
+
+    blocks names those wanted (mean0, meant, c00, c0t, ctt; all where not given); a pair without x or y counts in none.
+    dim is the number of features, of which there should be few: each cell is then an average of its own and no row is
+    made for it; else every pair gives a row a cell."""
     lagged = "y" in pairs.columns
     ends = {"0": "x"} | ({"t": "y"} if lagged else {})
+    pairs = pairs.dropna(subset=list(ends.values()))
+    products = [b for b in ["00", *["0t", "tt"] * lagged] if blocks is None or f"c{b}" in blocks]
+    means = [n for n in ends if blocks is None or f"mean{n}" in blocks]
 
     def cell(block, p, q, v):
         return F.struct(F.lit(block).alias("block"), p.alias("p"), q.alias("q"), v.alias("v"))
 
-    def means(name):
-        return F.transform(ends[name], lambda v, p: cell(f"mean{name}", p, F.lit(-1), v))
+    if dim is not None:
+        at = range(dim)
+        wide = [(f"mean{n}", p, -1, F.get(ends[n], F.lit(p)), (n,)) for n in means for p in at]
+        wide += [(f"c{a}{b}", p, q, F.get(ends[a], F.lit(p)) * F.get(ends[b], F.lit(q)), (a, b)) for a, b in products for p in at for q in at]
+        sizes = [F.max(F.size(c)).alias(f"n{n}") for n, c in ends.items()]
+        one = pairs.agg(*sizes, *(F.avg(v).alias(f"v{i}") for i, (*_, v, _) in enumerate(wide)))
+        cells = [(cell(block, F.lit(p), F.lit(q), F.col(f"v{i}")), [F.col(f"n{n}") > k for n, k in zip(of, (p, q))]) for i, (block, p, q, _, of) in enumerate(wide)]
+        there = F.filter(F.array(*(F.when(reduce(and_, held), c) for c, held in cells)), lambda c: c.isNotNull())
+        return one.select(F.inline(there))
+
+    def first(n):
+        return F.transform(ends[n], lambda v, p: cell(f"mean{n}", p, F.lit(-1), v))
 
-    def products(a, b):
+    def second(a, b):
         return F.flatten(F.transform(ends[a], lambda v, p: F.transform(ends[b], lambda w, q: cell(f"c{a}{b}", p, q, v * w))))
 
-    items = F.concat(*(means(n) for n in ends), *(products(a, b) for a, b in [("0", "0")] + ([("0", "t"), ("t", "t")] if lagged else [])))
+    items = F.concat(*(first(n) for n in means), *(second(a, b) for a, b in products))
     return pairs.select(F.inline(items)).groupBy("block", "p", "q").agg(F.avg("v").alias("v"))
 
 

@@ -166,8 +166,8 @@ def second_moments(spark, sf):
 
 @query("lagged_moments_sql", f"WITH {LINES}, pr AS (SELECT x0, x1, lead(x0, 1) OVER w y0, lead(x1, 1) OVER w y1 FROM fx WINDOW w AS (PARTITION BY traj_id ORDER BY t)), k AS (SELECT * FROM pr WHERE y0 IS NOT NULL) SELECT block, p::BIGINT p, q::BIGINT q, round(v, 3) v FROM (SELECT unnest(['c0t', 'c0t', 'c0t', 'c0t', 'mean0', 'mean0', 'meant', 'meant']) block, unnest([0, 0, 1, 1, 0, 1, 0, 1]) p, unnest([0, 1, 0, 1, -1, -1, -1, -1]) q, unnest([avg(x0 * y0), avg(x0 * y1), avg(x1 * y0), avg(x1 * y1), avg(x0), avg(x1), avg(y0), avg(y1)]) v FROM k)")
 def lagged_moments(spark, sf):
-    pairs = lag.lag_pairs(tr.lineitem_x(spark, sf), 1).withColumn("x", F.slice("x", 1, 2)).withColumn("y", F.slice("y", 1, 2))
-    m = moments.moments_sql(pairs).where("block in ('c0t', 'mean0', 'meant')")
+    pairs = lag.lag_pairs(tr.lineitem_x(spark, sf).withColumn("x", F.slice("x", 1, 2)), 1)
+    m = moments.moments_sql(pairs, ("c0t", "mean0", "meant"), dim=2)
     return m.select("block", F.col("p").cast("long"), F.col("q").cast("long"), F.round("v", 3).alias("v"))
 
 

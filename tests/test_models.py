@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lagstream.functions import analysis, basis, estimation, simulate
 from lagstream.operators import clustering, counts, decomposition, hmm, lag, moments, msm, tram, validation
+from lagstream.plans import series
 from lagstream.sources import trajectories as tr
 
 
@@ -301,3 +302,17 @@ def test_mini_batches_are_dealt_out_once(spark, monkeypatch, size, task, jobs):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert np.allclose(m.inertias, costs) and np.allclose(m.cluster_centers, centers) and m.converged == converged
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mini {size} {task}")) <= jobs
+
+
+def test_moments_sql_makes_no_row_for_a_cell(spark):
+    """Where the number of features is known; the same cells either way, of empty tables, nulls and fewer features too."""
+    df = tr.from_numpy(spark, [np.random.default_rng(2).normal(size=(30, 3))])
+    holes = df.withColumn("x", F.when(F.col("t") % 4 == 0, F.array(F.col("x")[0], F.lit(None).cast("double"), F.lit(None).cast("double"))).when(F.col("t") % 7 != 0, F.col("x")))
+    pairs = lag.lag_pairs(df, 2)
+    for table, blocks in ((pairs, None), (lag.lag_pairs(holes, 1), ("c0t", "meant", "c00")), (pairs.where("t < 0"), None), (df, ("mean0",))):
+        want = {(r["block"], r["p"], r["q"]): r["v"] for r in moments.moments_sql(table, blocks).collect()}
+        got = {(r["block"], r["p"], r["q"]): r["v"] for r in moments.moments_sql(table, blocks, 4).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    assert "Generate" in moments.moments_sql(pairs)._jdf.queryExecution().toString()
+    plan = series.QUERIES["lagged_moments_sql"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1  # of the one row of averages
